@@ -1,0 +1 @@
+"""Deliberately empty: all inputs are whole tables, so there is no streaming operator."""
