@@ -10,23 +10,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from civicpulse.functions.numbers import is_finite, to_number
+from civicpulse.functions.numbers import is_finite
 
 
 def read_polygons(kind: Column, coordinates: Column) -> Column:
     """Coordinates text of a Polygon or MultiPolygon to polygons; NULL for other types."""
-    rings_of_text = "array<array<string>>"
-    raw = F.when(
-        kind == "Polygon", F.array(F.from_json(coordinates, rings_of_text))
-    ).when(kind == "MultiPolygon", F.from_json(coordinates, f"array<{rings_of_text}>"))
-    return F.transform(
-        raw, lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, _read_point))
+    # Rings stay text at first: each is then parsed on its own.
+    polygon = "array<string>"
+    rings = F.when(kind == "Polygon", F.array(F.from_json(coordinates, polygon))).when(
+        kind == "MultiPolygon", F.from_json(coordinates, f"array<{polygon}>")
     )
+    return F.transform(rings, lambda polygon: F.transform(polygon, _read_ring))
 
 
-def _read_point(text: Column) -> Column:
-    # A point is parsed on its own, so that one bad point does not void its ring.
-    return F.transform(F.from_json(text, "array<string>"), to_number)
+def _read_ring(text: Column) -> Column:
+    whole = F.from_json(text, "array<array<string>>")
+    # A point that is no array voids the whole ring, so such a ring is parsed point by point.
+    by_point = F.transform(
+        F.from_json(text, "array<string>"), lambda point: F.from_json(point, "array<string>")
+    )
+    return F.transform(
+        F.coalesce(whole, by_point),
+        lambda point: F.transform(point, lambda number: number.try_cast("double")),
+    )
 
 
 def ring_centroid(ring: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicpulse.functions.dates import iso_minute, month_label
@@ -16,20 +16,30 @@ def top_posts(requests: DataFrame, posts: DataFrame, n: int = TOP_POSTS) -> Data
     Where the day has no post of the topic, the posts of the month labelled ``December 2025``
     are taken instead; ``match_level`` tells which. A request without either has no rows.
     """
-    wanted = requests.select("topic", "day").distinct()
     order = [F.col("likes").desc(), *[F.col(c) for c in ("created_at", "author", "text")]]
-    # Posts are ranked per day and per month, not per request, so the joins see n rows per key.
-    # Both rankings start from the n best of each day and month, which is one pass over posts.
+    # Posts are ranked per day and per month, not per request, so the join sees n rows per key.
+    # Both rankings start from the n best of each day and month: posts are read once.
     best = top_n(posts, ["topic", "day", "month"], order, n).drop("rank")
-    daily = top_n(best, ["topic", "day"], order, n)
-    monthly = top_n(best, ["topic", "month"], order, n).drop("day")
-
-    exact = wanted.join(daily, ["topic", "day"]).withColumn("match_level", F.lit("day"))
-    days = posts.select("topic", "day").distinct()
-    unmet = wanted.join(days, ["topic", "day"], "left_anti")
-    fallback = (
-        unmet.withColumn("month", month_label(F.col("day")))
-        .join(monthly, ["topic", "month"])
-        .withColumn("match_level", F.lit("month"))
+    periods = _by_period(best, F.col("month")).drop("day")
+    ranked = top_n(periods, ["topic", "match_level", "period"], order, n)
+
+    wanted = requests.select("topic", "day").distinct()
+    keyed = _by_period(wanted, month_label(F.col("day")))
+    found = keyed.join(ranked, ["topic", "match_level", "period"]).drop("period")
+    # At most 2n rows per request: those of the day come before those of the month.
+    closest = F.min("match_level").over(Window.partitionBy("topic", "day"))
+    return (
+        found.withColumn("closest", closest)
+        .filter(F.col("match_level") == F.col("closest"))
+        .drop("closest")
+        .withColumn("posted", iso_minute(F.col("created_at")))
     )
-    return exact.unionByName(fallback).withColumn("posted", iso_minute(F.col("created_at")))
+
+
+def _by_period(df: DataFrame, month: Column) -> DataFrame:
+    """Every row twice: under its day and under its month."""
+    levels = [
+        F.struct(F.lit(level).alias("match_level"), period.alias("period"))
+        for level, period in (("day", F.col("day").cast("string")), ("month", month))
+    ]
+    return df.select("*", F.inline(F.array(*levels)))

@@ -71,7 +71,7 @@ def region_lookup(values: DataFrame, codes: DataFrame) -> DataFrame:
 
 def region_map_values(values: DataFrame, codes: DataFrame) -> DataFrame:
     """Values that can be drawn on a map: regions without a code are dropped."""
-    return region_lookup(values, codes).dropna(subset=["region_code"])
+    return region_lookup(values, codes).filter(F.col("region_code").isNotNull())
 
 
 def choropleth_table(
@@ -86,21 +86,21 @@ def choropleth_table(
     value stay, with a NULL value; values without a shape are left out.
     """
     dims = shapes.select("region_code", "region_name")
-    bound = values.select(*keys, on, "interest_value").join(
-        dims.withColumn("drawn", F.lit(True)), on, "left"
-    )
-    columns = [*keys, "region_code", "region_name", "interest_value"]
-    filled = bound.filter("drawn").select(*columns)
-    seen = bound.groupBy(*keys).agg(F.collect_set(F.when(F.col("drawn"), F.col(on))).alias("seen"))
-    absent = F.array_except(_all_shapes(dims, on), F.col("seen"))
-    faint = (
-        seen.select(*keys, F.explode(absent).alias(on))
+    known = dims.select(on).distinct().withColumn("drawn", F.lit(True))
+    value = F.col("interest_value").cast("double").alias("interest_value")
+    bound = values.select(*keys, on, value).join(known, on, "left")
+    # One pass: a group holds one entry per shape at most, as values without shape are skipped.
+    entry = F.when(F.col("drawn"), F.struct(on, "interest_value"))
+    groups = bound.groupBy(*keys).agg(F.collect_list(entry).alias("filled"))
+    absent = F.array_except(_all_shapes(dims, on), F.col("filled")[on])
+    # Zipping pads the shorter array, so the shapes without a value get NULL.
+    rows = F.arrays_zip(F.concat(F.col("filled")[on], absent), F.col("filled")["interest_value"])
+    text = tooltip(F.col("region_name"), F.col("region_code"), F.col("interest_value"))
+    return (
+        groups.select(*keys, F.inline(rows).alias(on, "interest_value"))
         .join(dims, on)
-        .withColumn("interest_value", F.lit(None).cast("double"))
-        .select(*columns)
+        .select(*keys, "region_code", "region_name", "interest_value", text.alias("tooltip"))
     )
-    text = tooltip(F.col("region_name"), F.col("region_code"), F.col("interest_value"))
-    return filled.unionByName(faint).withColumn("tooltip", text)
 
 
 def _all_shapes(dims: DataFrame, on: str) -> Column:

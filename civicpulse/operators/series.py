@@ -94,6 +94,8 @@ def timeline_table(
 
     Each row carries the average of its topic, the height of the reference line.
     """
+    # Dropped by the join below in any case; done here, both uses of the series read the same.
+    series = series.filter(F.col("topic").isNotNull())
     statistics = series_statistics(series)
     none = F.lit(None)
     points = series.join(statistics.select("topic", "average"), "topic").select(

@@ -21,8 +21,29 @@ FEATURE_POINTS = 32
 UNREADABLE_FROM = 0.25
 
 
+# Columns of the test tables: given here, so that no file is opened to find them.
+TABLE_COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
+    "props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "pages": "page_id long, url string, html string",
+    "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLE_COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _nation_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,10 +150,10 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     Even vectors are multi-polygons of two rings, odd ones polygons of the first ring; the label
     gives the code, so codes repeat. Coordinates are text, as in a file.
     """
-    vector = F.col("embedding").cast("array<double>")
+    vector = F.col("embedding")
 
     def point(i: Column) -> Column:
-        lon, lat = vector[2 * i], vector[2 * i + 1]
+        lon, lat = vector[2 * i].cast("double"), vector[2 * i + 1].cast("double")
         return F.when(lon < UNREADABLE_FROM, F.array(lon, lat))
 
     points = F.transform(F.sequence(F.lit(0), F.lit(FEATURE_POINTS - 1)), point)
