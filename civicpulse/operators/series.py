@@ -1,6 +1,7 @@
 """Summaries of interest series: statistics, direction, timeline rows, weekly means.
 
-A series table has one row per topic and date. Every step over a whole topic is an aggregate or
+A series table has one row per topic and date; with other ``keys``, one per combination of them
+and date. Every step over a whole topic is an aggregate or
 a per-key limit, so a topic with most of the rows is reduced before it is shuffled.
 """
 
@@ -24,11 +25,11 @@ from civicpulse.functions.numbers import mean_of, round_to
 from civicpulse.operators.topk import top_n
 
 
-def series_statistics(series: DataFrame) -> DataFrame:
+def series_statistics(series: DataFrame, keys: Sequence[str] = ("topic",)) -> DataFrame:
     """Unrounded statistics per topic: first and last date, mean, first peak, last value."""
     value, date = F.col("value"), F.col("date")
     # Both orderings end in the value, so the pick is the same on every run.
-    return series.groupBy("topic").agg(
+    return series.groupBy(*keys).agg(
         F.min(date).alias("first_date"),
         F.max(date).alias("last_date"),
         mean_of(value).alias("average"),
@@ -38,10 +39,10 @@ def series_statistics(series: DataFrame) -> DataFrame:
     )
 
 
-def series_summary(series: DataFrame) -> DataFrame:
+def series_summary(series: DataFrame, keys: Sequence[str] = ("topic",)) -> DataFrame:
     """Rounded mean, peak, date of the first peak, and current value per topic."""
-    return series_statistics(series).select(
-        "topic",
+    return series_statistics(series, keys).select(
+        *keys,
         round_to(F.col("average"), 2).alias("average_interest"),
         F.col("peak").cast("long").alias("peak_interest"),
         "peak_date",
@@ -50,12 +51,12 @@ def series_summary(series: DataFrame) -> DataFrame:
     )
 
 
-def trend_direction(series: DataFrame) -> DataFrame:
+def trend_direction(series: DataFrame, keys: Sequence[str] = ("topic",)) -> DataFrame:
     """Compare the mean of the newest four points of a topic with the four before."""
     order = [F.col("date").desc(), F.col("value").desc()]
-    newest = top_n(series, ["topic"], order, 2 * TREND_POINTS)
+    newest = top_n(series, keys, order, 2 * TREND_POINTS)
     recent = F.col("rank") <= TREND_POINTS
-    means = newest.groupBy("topic").agg(
+    means = newest.groupBy(*keys).agg(
         F.count("*").alias("points"),
         mean_of(F.when(recent, F.col("value"))).alias("recent_average"),
         mean_of(F.when(~recent, F.col("value"))).alias("previous_average"),

@@ -326,6 +326,18 @@ found AS (
 SELECT topic_name, coalesce(n_rows, 0) AS n_rows, coalesce(n_unmapped, 0) AS n_unmapped,
        n_rows IS NULL AS no_data
 FROM requested LEFT JOIN found USING (topic_name)""",
+    "series_summary_by_region": f"""
+WITH {TREND_LONG}, {VALUES_SUM},
+peaks AS (
+  SELECT topic_name, region, date AS peak_date, interest_value AS peak FROM region_sums
+  QUALIFY row_number() OVER (PARTITION BY topic_name, region ORDER BY interest_value DESC, date) = 1),
+means AS (
+  SELECT topic_name, region, sum(interest_value::decimal(28,2))::double / count(*) AS average, arg_max(interest_value, date) AS current
+  FROM region_sums GROUP BY topic_name, region)
+SELECT topic_name, region, {_two_places('average')} AS average_interest,
+       trunc(peak)::bigint AS peak_interest, peak_date,
+       strftime(peak_date, '%d %B %Y') AS peak_date_label, trunc(current)::bigint AS current_interest
+FROM peaks JOIN means USING (topic_name, region)""",
     "top_regions": f"WITH {REGION_INTEREST} SELECT * FROM top_regions",
     "top_queries": f"WITH {RELATED} SELECT * FROM top_queries",
     "top_posts": f"""

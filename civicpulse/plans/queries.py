@@ -317,6 +317,15 @@ def coverage(spark, sf_dir):
     return profile.coverage(trends, requested, standins.map_codes(spark))
 
 
+@query
+def series_summary_by_region(spark, sf_dir):
+    trends = standins.trend_long(spark, sf_dir)
+    daily = regions.region_values(trends, "sum")
+    # Exact again, as a mean of doubles depends on the order of the rows.
+    exact = daily.withColumn("value", F.col("interest_value").cast("decimal(28,2)"))
+    return series.series_summary(exact, ["topic_name", "region"])
+
+
 # Rankings --------------------------------------------------------------------------------------
 
 
@@ -404,8 +413,10 @@ def news_digest(spark, sf_dir):
 
 @query
 def speech_rows(spark, sf_dir):
-    rows = speeches.parse_speeches(standins.speech_documents(spark, sf_dir))
-    return speeches.promote_attributes(rows).drop("error")
+    # Stored, as finding the attribute names would parse the documents once more.
+    path = scratch_path(spark, "speeches")
+    write_table(speeches.parse_speeches(standins.speech_documents(spark, sf_dir)), path)
+    return speeches.promote_attributes(spark.read.parquet(path)).drop("error")
 
 
 # Files: tables are written below the shared folder and read back -------------------------------

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicpulse.sources.files import file_name
+
 RESPONSE = (
     "search_query string, articles array<struct<source: struct<id: string, name: string>, "
     "author: string, title: string, description: string, url: string, urlToImage: string, "
@@ -23,6 +25,6 @@ def read_articles(
     responses = spark.read.schema(RESPONSE).option("multiLine", multi_line).json(path)
     return responses.select(
         "search_query",
-        F.col("_metadata.file_name").alias("file_name"),
+        file_name(),
         F.posexplode("articles").alias("pos", "article"),
     ).select("search_query", "file_name", "pos", "article.*")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from civicpulse.functions.fixed_values import CODE_PROPERTIES, NAME_PROPERTIES
 from civicpulse.functions.geometry import read_polygons
 from civicpulse.functions.labels import first_non_empty
+from civicpulse.sources.files import file_name
 
 # Coordinates stay text until the geometry type is known: their depth depends on it.
 FEATURE_COLLECTION = (
@@ -25,7 +26,7 @@ def read_boundaries(
     """
     raw = spark.read.schema(FEATURE_COLLECTION).option("multiLine", multi_line).json(path)
     features = raw.select(
-        F.col("_metadata.file_name").alias("file_name"),
+        file_name(),
         F.posexplode("features").alias("feature_pos", "feature"),
     )
     return with_polygons(

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from civicpulse.operators.speeches import parse_speeches
+from civicpulse.sources.files import file_name
 
 
 def read_speeches(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Speeches of the ``*.xml`` files of a folder; files are whole documents, one per row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path)
-    return parse_speeches(files.select(F.col("_metadata.file_name").alias("file_name"), "content"))
+    return parse_speeches(files.select(file_name(), "content"))

@@ -1,23 +1,23 @@
 """Search-interest tables and daily counts from CSV files.
 
-Cells are read as text and cast leniently afterwards. The header of every file is checked against
-the columns, so files in another column order are refused instead of being misread.
+Columns are named by the header, cells are read as text and cast leniently afterwards. Files read
+together must share one header: each is checked, so none is misread. Files with different headers
+are read apart and put together with ``union_sources``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from pathlib import PurePosixPath
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from civicpulse.functions.fixed_values import REGION_COLUMNS
 from civicpulse.functions.numbers import to_number
-from civicpulse.operators.quality import lenient_cast, normalise_trends
+from civicpulse.operators.quality import lenient_cast, normalise_trends, require_columns
 from civicpulse.operators.reshape import melt_regions, topic_series
 from civicpulse.session import literal_table
+from civicpulse.sources.files import file_name, file_names
 
 Paths = str | list[str]
 
@@ -34,27 +34,23 @@ def read_trend_dir(
 ) -> DataFrame:
     """Wide trend files (a date and one column per region), each tagged with its topic.
 
-    ``topics`` maps file names to topics; a file it does not list is an error.
+    Other columns are left out. ``topics`` maps file names to topics; a file it does not list is an error.
     """
-    schema = ", ".join(f"`{c}` string" for c in ["date", *regions])
-    raw = _csv(spark).schema(schema).csv(path)
-    unknown = sorted(_file_names(raw) - set(topics))
+    raw = require_columns(_csv(spark).csv(path), ["date", *regions])
+    unknown = sorted(file_names(raw) - set(topics))
     if unknown:
         raise ValueError(f"no topic for files: {unknown}")
     names = literal_table(spark, sorted(topics.items()), ["file_name", "topic_name"])
-    tagged = raw.select("*", F.col("_metadata.file_name").alias("file_name"))
-    return tagged.join(names, "file_name").select(
+    tagged = raw.select("*", file_name()).join(names, "file_name", "left")
+    # No row may get lost, should a file be added after the check.
+    no_topic = F.raise_error(F.concat(F.lit("no topic for file: "), F.col("file_name")))
+    return tagged.select(
         F.col("date").try_cast("date").alias("date"),
-        "topic_name",
+        F.coalesce("topic_name", no_topic).alias("topic_name"),
         *[to_number(F.col(f"`{r}`")).alias(r) for r in regions],
     )
 
 
-def _file_names(df: DataFrame) -> set[str]:
-    # The listing Spark already holds; no data is read.
-    return {unquote(PurePosixPath(f).name) for f in df.inputFiles()}
-
-
 def merge_trend_dir(
     spark: SparkSession,
     path: Paths,

@@ -1,0 +1,123 @@
+import datetime as dt
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from civicpulse.functions import dates
+from civicpulse.operators.rollup import monthly_rollup, monthly_wide
+from civicpulse.operators.series import (
+    annotate_events,
+    series_statistics,
+    series_summary,
+    timeline_table,
+    trend_direction,
+    weekly_series,
+)
+
+SERIES = "topic string, date date, value long"
+DAY = dt.date(2025, 1, 1)
+
+
+def series(rows, values, topic="t"):
+    return rows.make(SERIES, *[(topic, DAY + dt.timedelta(days=7 * i), v) for i, v in enumerate(values)])
+
+
+def test_first_of_two_peaks_and_last_value(rows):
+    summary = series_summary(series(rows, [1, 9, 9, 2])).first()
+    assert (summary.average_interest, summary.peak_interest, summary.current_interest) == (5.25, 9, 2)
+    assert summary.peak_date == DAY + dt.timedelta(days=7)
+    assert summary.peak_date_label == "08 January 2025"
+
+
+def test_all_zeros_peak_at_the_start(rows):
+    summary = series_summary(series(rows, [0, 0, 0])).first()
+    assert (summary.average_interest, summary.peak_interest, summary.peak_date) == (0.0, 0, DAY)
+
+
+def test_missing_values_are_no_peak(rows):
+    statistics = series_statistics(series(rows, [None, 3, 5])).first()
+    assert (statistics.average, statistics.peak, statistics.peak_date) == (4.0, 5.0, DAY + dt.timedelta(days=14))
+
+
+@pytest.mark.parametrize(
+    ("values", "trend"),
+    [
+        ([1] * 7, "→ Insufficient data"),
+        ([1] * 8, "→ Stable"),
+        ([9, 1, 1, 1, 1, 2, 1, 1, 1], "↑ Increasing"),
+        ([2, 2, 2, 2, 1, 2, 2, 2], "↓ Decreasing"),
+        # Eight real weeks of one topic in four regions.
+        ([5, 5, 5, 5, 5, 5, 5, 4], "↓ Decreasing"),
+        ([7, 0, 8, 0, 0, 7, 3, 3], "↓ Decreasing"),
+        ([4, 6, 0, 0, 7, 8, 4, 5], "↑ Increasing"),
+        ([0, 0, 0, 0, 0, 0, 5, 5], "↑ Increasing"),
+    ],
+)
+def test_trend_direction(rows, values, trend):
+    assert trend_direction(series(rows, values)).first().trend == trend
+
+
+def test_events_at_the_ends_count(rows):
+    statistics = series_statistics(series(rows, [1, 2, 3]))
+    events = [("first", "2025-01-01"), ("last", "2025-01-15"), ("after", "2025-01-16"), ("before", "2024-12-31")]
+    assert rows.get(annotate_events(statistics, events), "event") == [("first",), ("last",)]
+
+
+def test_timeline_has_points_peak_and_events(rows):
+    timeline = timeline_table(series(rows, [1, 5, 3]), [("vote", "2025-01-10")])
+    assert rows.get(timeline, "kind", "date", "value", "label", "average") == [
+        ("event", dt.date(2025, 1, 10), None, "vote", 3.0),
+        ("interest", DAY, 1.0, None, 3.0),
+        ("interest", dt.date(2025, 1, 15), 3.0, None, 3.0),
+        ("interest", dt.date(2025, 1, 8), 5.0, None, 3.0),
+        ("peak", dt.date(2025, 1, 8), 5.0, "Peak", 3.0),
+    ]
+
+
+def test_weekly_series_equals_pandas_resample(spark, rows):
+    days = ["2024-12-29", "2024-12-30", "2025-01-05", "2025-01-06", "2025-02-02", "2025-02-03"]
+    values = [3.0, 4.0, 5.0, 6.0, 7.0, 9.0]
+    frame = pd.DataFrame({"date": pd.to_datetime(days), "v": values}).set_index("date")
+    expected = [
+        (d.date(), None if pd.isna(v) else v) for d, v in frame["v"].resample("W").mean().items()
+    ]
+    trends = rows.make(
+        "topic_name string, region string, date date, interest_value double",
+        *[("t", "r", dt.date.fromisoformat(d), v) for d, v in zip(days, values)],
+    )
+    weekly = weekly_series(trends).orderBy("week_end").select("week_end", "interest_value")
+    assert [tuple(r) for r in weekly.collect()] == expected
+    assert weekly_series(trends, dense=False).count() == frame["v"].resample("W").mean().notna().sum()
+
+
+def test_week_start_equals_pandas_period(spark):
+    days = pd.date_range("2024-12-20", "2025-01-15")
+    expected = [d.date() for d in days.to_period("W").start_time]
+    df = spark.sql("select explode(sequence(date'2024-12-20', date'2025-01-15')) as d").orderBy("d")
+    assert [r[0] for r in df.select(dates.week_start(F.col("d"))).collect()] == expected
+
+
+def test_monthly_rollup(rows):
+    counts = rows.make(SERIES, ("HS2", dt.date(2025, 1, 1), 20), ("HS2", dt.date(2025, 1, 31), 5),
+                       ("HS2", dt.date(2025, 2, 1), 1), ("S", dt.date(2025, 1, 1), 2))
+    rollup = monthly_rollup(counts)
+    assert rows.get(rollup, "topic", "month", "total") == [
+        ("HS2", "2025-01", 25), ("HS2", "2025-02", 1), ("S", "2025-01", 2)
+    ]
+    assert rows.get(monthly_wide(rollup, ["HS2", "S"])) == [("2025-01", 25, 2), ("2025-02", 1, None)]
+
+
+@pytest.mark.parametrize(("label", "number"), [("December 2025", 12), (" january", 1), ("MAY 1", 5), ("Foo 2025", None)])
+def test_month_number(spark, label, number):
+    assert spark.range(1).select(dates.month_number(F.lit(label))).first()[0] == number
+
+
+def test_times_with_and_without_offset(spark):
+    texts = ["2025-12-18T01:25:52.713Z", "2025-12-18T01:25:52+02:00", "2025-12-18 23:30", "soon"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    shown = df.select(dates.iso_minute(dates.parse_utc(F.col("t"))), dates.utc_day(dates.parse_utc(F.col("t"))))
+    assert [tuple(r) for r in shown.collect()] == [
+        ("2025-12-18 01:25", dt.date(2025, 12, 18)), ("2025-12-17 23:25", dt.date(2025, 12, 17)),
+        ("2025-12-18 23:30", dt.date(2025, 12, 18)), (None, None),
+    ]
