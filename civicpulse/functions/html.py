@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -23,12 +24,14 @@ class _VisibleText(HTMLParser):
     """Collects stripped text nodes; every tag, comment or declaration ends a node."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        # References are left to the two handlers below: text like "&co" is none, and stays.
+        super().__init__(convert_charrefs=False)
         self.nodes: list[str] = []
         self.pending: list[str] = []
         self.path: list[str] = []
         self.open: Counter[str] = Counter()
         self.hidden = 0
+        self.void_open: Counter[str] = Counter()
 
     def end_node(self) -> None:
         text = "".join(self.pending).strip()
@@ -39,14 +42,26 @@ class _VisibleText(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.pending.append(data)
 
+    def handle_entityref(self, name: str) -> None:
+        self.pending.append(html5.get(f"{name};", f"&{name}"))
+
+    def handle_charref(self, name: str) -> None:
+        code = int(name[1:], 16) if name[0] in "xX" else int(name)
+        self.pending.append(_character(code))
+
     def handle_starttag(self, tag, attrs) -> None:
         self.end_node()
-        if tag not in VOID:
+        if tag in VOID:
+            self.void_open[tag] += 1
+        else:
             self.path.append(tag)
             self.open[tag] += 1
             self.hidden += tag in HIDDEN
 
     def handle_endtag(self, tag) -> None:
+        if self.void_open[tag]:  # closed at its start, so this ends nothing
+            self.void_open[tag] -= 1
+            return
         self.end_node()
         # An end tag closes everything opened since its start tag; a stray one closes nothing.
         while self.open[tag]:
@@ -68,6 +83,14 @@ class _VisibleText(HTMLParser):
             self.end_node()
 
 
+def _character(code: int) -> str:
+    if 128 <= code < 160:  # meant as Windows-1252, as browsers take it
+        return bytes([code]).decode("windows-1252", errors="ignore") or chr(code)
+    if code > 0x10FFFF or 0xD800 <= code < 0xE000:  # no character, or half of one
+        return "\N{REPLACEMENT CHARACTER}"
+    return chr(code)
+
+
 def visible_text(html: str) -> str:
     parser = _VisibleText()
     parser.feed(html)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from civicpulse.functions.numbers import round_to
+from civicpulse.functions.numbers import round_one
 from civicpulse.functions.text import empty_to_null
 
 
@@ -17,7 +17,7 @@ def first_non_empty(*texts: Column) -> Column:
 def tooltip(name: Column, code: Column, value: Column) -> Column:
     """``England (E92000001) — 12.3``; the value is left blank when missing."""
     # A decimal prints plainly at any size, where a double turns to exponents.
-    shown = round_to(value, 1).try_cast("decimal(38,1)").cast("string")
+    shown = round_one(value).try_cast("decimal(38,1)").cast("string")
     blank = F.lit("")
     return F.concat(
         F.coalesce(name, blank), F.lit(" ("), F.coalesce(code, blank), F.lit(") — "),

@@ -17,6 +17,19 @@ def round_to(value: Column, places: int) -> Column:
     return F.rint(value.cast("double") * F.lit(scale)) / F.lit(scale)
 
 
+def round_one(value: Column) -> Column:
+    """Round to one place as Python does: by the exact binary value (0.35 -> 0.3, 0.25 -> 0.2)."""
+    number = value.cast("double")
+    # Ten times the number is eight times plus twice, both exact; ``error`` is what their sum lost.
+    eight, two = number * 8.0, number * 2.0
+    scaled = eight + two
+    part = scaled - eight
+    error = (eight - (scaled - part)) + (two - part)
+    halfway = F.abs(scaled - F.rint(scaled)) == 0.5
+    whole = F.when(halfway & (error > 0), scaled + 0.5).when(halfway & (error < 0), scaled - 0.5)
+    return whole.otherwise(F.rint(scaled)) / 10.0
+
+
 def nan_to_null(value: Column) -> Column:
     """Turn floating NaN into NULL, so that aggregates skip it."""
     return F.when(~F.isnan(value), value)

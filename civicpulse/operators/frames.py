@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicpulse.functions.dates import iso_date, week_end, week_start
-from civicpulse.functions.numbers import round_to
+from civicpulse.functions.numbers import round_one
 from civicpulse.operators.regions import region_map_values
 from civicpulse.operators.series import fill_weeks
 
@@ -40,10 +40,10 @@ def sparkline_series(trends: DataFrame, centroids: DataFrame, codes: DataFrame)
     whole = Window.partitionBy(*keys).orderBy("week_end").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
-    latest = round_to(F.last("interest_value", ignorenulls=True).over(whole), 1)
+    latest = F.last("interest_value", ignorenulls=True).over(whole)
     series = fill_weeks(weekly.drop("week").withColumn("latest", latest), keys)
     return series.join(centroids, "region_code").select(
-        *keys, "lat", "lon", "week_end", "interest_value", "latest"
+        *keys, "lat", "lon", "week_end", "interest_value", round_one(F.col("latest")).alias("latest")
     )
 
 

@@ -149,7 +149,7 @@ def _choropleth(values: str) -> str:
 WITH {TREND_LONG}, {CODES}, {SHAPES}, {VALUES_MEAN}, {VALUES_SUM}, bound AS ({values})
 SELECT topic_name, date, region_code, region_name, interest_value,
        region_name || ' (' || region_code || ') — ' ||
-       coalesce((round_even(interest_value * 10, 0) / 10)::decimal(38,1)::varchar, '') AS tooltip
+       coalesce(printf('%.1f', interest_value), '') AS tooltip
 FROM (SELECT DISTINCT topic_name, date FROM bound) CROSS JOIN shapes
 LEFT JOIN bound USING (topic_name, date, region_name)"""
 
@@ -170,8 +170,9 @@ WHERE date IS NOT NULL AND region IS NOT NULL AND interest_value IS NOT NULL"""
 # Visible text: drop scripts and styles, split at tags and comments, decode, trim, join.
 def _visible(html: str) -> str:
     decoded = "x"
+    # A reference cut off by a tag lacks its semicolon, and is one all the same.
     for entity, character in [("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")]:
-        decoded = f"replace({decoded}, '&{entity};', '{character}')"
+        decoded = f"regexp_replace({decoded}, '&{entity}(;|$)', '{character}', 'g')"
     return rf"""
 array_to_string(list_filter(list_transform(
   regexp_split_to_array(
@@ -295,7 +296,7 @@ calendar AS (
          arg_max(interest_value, week) AS latest
   FROM weekly GROUP BY topic_name, region_code)
 SELECT topic_name, region_code, lat, lon, week + 6 AS week_end, interest_value,
-       round_even(latest * 10, 0) / 10 AS latest
+       printf('%.1f', latest)::double AS latest
 FROM calendar LEFT JOIN weekly USING (topic_name, region_code, week) JOIN centroids USING (region_code)""",
     "heat_frames_flat": f"WITH {HEAT_POINTS} SELECT * FROM heat",
     "heat_frames": f"""

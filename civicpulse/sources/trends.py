@@ -23,7 +23,8 @@ Paths = str | list[str]
 
 
 def _csv(spark: SparkSession) -> DataFrameReader:
-    return spark.read.option("header", True).option("enforceSchema", False)
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    return reader.option("escape", '"')
 
 
 def read_trend_dir(

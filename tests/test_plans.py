@@ -1,8 +1,9 @@
 """Properties of the physical plans that hold at any size of the data."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from civicpulse.operators import series, topk
+from civicpulse.operators import regions, series, topk
 from civicpulse.plans import standins
 from civicpulse.plans.queries import QUERIES
 
@@ -67,3 +68,29 @@ def test_small_literal_tables_are_broadcast(spark):
 def test_preview_is_a_top_k(spark):
     df = topk.preview(standins.table(spark, SF_DIR, "orders"), ["o_orderkey"])
     assert "TakeOrderedAndProject" in plan_of(df)
+
+
+def test_a_hot_key_is_split_where_rows_are_joined(spark):
+    """Four fifths of the orders by one customer, too many customers to broadcast."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    orders = standins.table(spark, "/root/testdata/sf0.01", "orders")
+    hot = F.when(F.col("o_orderkey") % 5 > 0, F.lit(7)).otherwise(F.col("o_custkey"))
+    skewed = orders.withColumn("o_custkey", hot).repartition(8)
+    expected = skewed.count()
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        trends = standins.trend_long(spark, "/root/testdata/sf0.01", skewed)
+        means = regions.region_values(trends, "sum")
+        means.collect()
+        assert "skew=true" in plan_of(means)
+        assert trends.count() == expected
+    finally:
+        for name in settings:
+            spark.conf.unset(name)

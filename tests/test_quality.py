@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from civicpulse.functions.numbers import clamp, round_to, to_number
+from civicpulse.functions.numbers import clamp, round_one, round_to, to_number
 from civicpulse.operators.quality import (
     apply_aliases,
     lenient_cast,
@@ -70,6 +70,13 @@ def test_round_to_even(spark, value, places, rounded):
     assert spark.range(1).select(round_to(F.lit(value), places)).first()[0] == rounded
 
 
+def test_round_one_equals_python(spark):
+    numbers = [n / 20 for n in range(-400, 4000)] + [n / 7 for n in range(300)] + [1e15 + 0.25, 1e-9, 5e-324, 1e300]
+    df = spark.createDataFrame([(n,) for n in numbers], "v double")
+    rounded = [r[0] for r in df.select(round_one(F.col("v"))).collect()]
+    assert rounded == [round(n, 1) for n in numbers]
+
+
 def test_melt_keeps_empty_cells(rows):
     wide = rows.make("date string, topic_name string, England int, Wales double",
                      ("d1", "HS2", 5, None), ("d2", "HS2", 4, 1.5))

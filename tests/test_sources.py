@@ -3,6 +3,7 @@ import json
 
 import pytest
 
+from civicpulse.operators.regions import select_trends
 from civicpulse.operators.speeches import parse_speeches, promote_attributes
 from civicpulse.session import scratch_path
 from civicpulse.sources.articles import read_articles
@@ -67,6 +68,15 @@ def test_long_file(spark, rows, tmp_path):
     ]
 
 
+def test_quotes_are_doubled_inside_quotes(spark, rows, tmp_path):
+    (tmp_path / "t.csv").write_text(
+        'date,topic_name,region,region_name,interest_value\n2024-12-19,"The ""HS2"", \\ line",r,"A, B",1\n'
+    )
+    assert rows.get(read_trend_long(spark, str(tmp_path)), "topic_name", "region_name") == [
+        ('The "HS2", \\ line', "A, B")
+    ]
+
+
 def test_long_file_without_needed_column(spark, tmp_path):
     (tmp_path / "t.csv").write_text("date,Program,value\n2024-12-19,HS2,44\n")
     with pytest.raises(ValueError, match="region"):
@@ -157,6 +167,16 @@ def test_sink_round_trip(spark, rows, tmp_path, fmt):
         write_table(table, str(tmp_path / "x"), "xlsx")
 
 
+def test_a_topic_is_read_from_its_own_folder(spark, rows, tmp_path):
+    trends = rows.make("date date, topic_name string, region string, interest_value double",
+                       (dt.date(2025, 1, 1), "HS2", "Wales", 1.0), (dt.date(2025, 1, 2), "S", "Wales", 2.0))
+    write_table(trends, str(tmp_path / "t"), partition_by=["topic_name"])
+    selected = select_trends(spark.read.parquet(str(tmp_path / "t")), "HS2", "2025-01-01")
+    plan = selected._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(topic_name" in plan and "EqualTo(date,2025-01-01)" in plan
+    assert selected.count() == 1
+
+
 def test_scratch_paths_are_fresh_and_shared(spark):
     one, two = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert one != two
