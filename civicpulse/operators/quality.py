@@ -6,10 +6,11 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from civicpulse.functions.fixed_values import MISSING_MARKERS, TREND_ALIASES, TREND_COLUMNS
 from civicpulse.functions.numbers import clamp as clamp_value
-from civicpulse.functions.numbers import to_number
+from civicpulse.functions.numbers import nan_to_null, to_number
 
 
 def apply_aliases(df: DataFrame, aliases: dict[str, str] = TREND_ALIASES) -> DataFrame:
@@ -47,7 +48,9 @@ def lenient_cast(df: DataFrame, clamp: bool = False) -> DataFrame:
     Text that is no ISO date or no number counts as missing. ``clamp`` also limits the value to
     the 0-100 scale.
     """
-    value = to_number(F.col("interest_value").cast("string"))
+    given = F.col("interest_value")
+    is_text = isinstance(df.schema["interest_value"].dataType, StringType)
+    value = to_number(given) if is_text else nan_to_null(given.cast("double"))
     return df.withColumns(
         {
             "date": F.col("date").try_cast("date"),

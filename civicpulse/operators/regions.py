@@ -82,10 +82,12 @@ def choropleth_table(
 ) -> DataFrame:
     """One row per map shape for every combination of the keys, with its tooltip.
 
-    ``on`` binds values to shapes by ``region_code`` or by ``region_name``. Shapes without a
-    value stay, with a NULL value; values without a shape are left out.
+    ``values`` has one row per region for each combination, as ``region_values`` gives it. ``on``
+    binds values to shapes by ``region_code`` or by ``region_name``. Shapes without a value stay,
+    with a NULL value; values without a shape are left out.
     """
-    dims = shapes.select("region_code", "region_name")
+    # A shape without a name or code binds to nothing, but is drawn all the same.
+    dims = shapes.select("region_code", "region_name").fillna("", subset=[on])
     known = dims.select(on).distinct().withColumn("drawn", F.lit(True))
     value = F.col("interest_value").cast("double").alias("interest_value")
     bound = values.select(*keys, on, value).join(known, on, "left")

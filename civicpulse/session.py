@@ -27,11 +27,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Applications that have the package.
+_shipped: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application."""
     context = spark.sparkContext
-    if any(f.endswith("/civicpulse.zip") for f in context.listFiles):
+    if context.applicationId in _shipped:
         return
+    _shipped.add(context.applicationId)
     home = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="civicpulse-")) / "civicpulse"
     context.addPyFile(shutil.make_archive(str(archive), "zip", home.parent, home.name))

@@ -48,6 +48,13 @@ def test_unreadable_cells_drop_the_row(rows):
     assert len(rows.get(lenient_cast(rows.make(LONG, good, *bad)))) == 1
 
 
+def test_typed_columns_are_taken_as_they_are(rows):
+    typed = rows.make("date date, topic_name string, region string, region_name string, interest_value double",
+                      (dt.date(2025, 1, 1), "HS2", "Wales", "Wales", 1e10),
+                      (dt.date(2025, 1, 1), "HS2", "Wales", "Wales", float("nan")))
+    assert rows.get(lenient_cast(typed), "date", "interest_value") == [(dt.date(2025, 1, 1), 1e10)]
+
+
 def test_a_missing_region_name_keeps_the_row(rows):
     assert len(rows.get(lenient_cast(rows.make(LONG, ("2025-01-01", "HS2", "Wales", None, "1"))))) == 1
 

@@ -70,6 +70,15 @@ def test_every_shape_for_every_selection(spark, rows, trends):
     assert len(table) == 9
 
 
+def test_nameless_shapes_are_drawn_too(spark, rows, trends):
+    shapes = rows.make("region_code string, region_name string",
+                       ("E92000001", "England"), ("X1", None), (None, None))
+    values = region_values(select_trends(trends, "HS2", "2025-01-01")).withColumnRenamed("region", "region_name")
+    assert rows.get(choropleth_table(shapes, values, on="region_name"), "tooltip", "interest_value") == [
+        (" () — ", None), (" (X1) — ", None), ("England (E92000001) — 7.0", 7.0)
+    ]
+
+
 def test_a_map_with_too_many_shapes_is_refused(rows, trends, monkeypatch):
     monkeypatch.setattr(regions, "MAX_SHAPES", 1)
     shapes = rows.make("region_code string, region_name string", ("E", "England"), ("W", "Wales"))
