@@ -34,6 +34,8 @@ class _VisibleText(HTMLParser):
         self.void_open: Counter[str] = Counter()
 
     def end_node(self) -> None:
+        if not self.pending:
+            return
         text = "".join(self.pending).strip()
         if text and not self.hidden:
             self.nodes.append(text)
@@ -112,3 +114,7 @@ def _text_or_error(html: str | None) -> tuple[str | None, str | None]:
 def html_to_text(html: pd.Series) -> pd.DataFrame:
     """Struct of the visible text and, for a page that cannot be parsed, the error."""
     return pd.DataFrame([_text_or_error(h) for h in html], columns=["content", "error"])
+
+
+# So declared, a filter on the text is not pushed below it, which would parse every page twice.
+html_to_text = html_to_text.asNondeterministic()

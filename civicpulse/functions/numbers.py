@@ -37,9 +37,9 @@ def nan_to_null(value: Column) -> Column:
 
 def to_number(text: Column) -> Column:
     """Lenient text to double: NULL for anything but a plain number."""
-    # Java also reads "1d" and "2f" as numbers; a CSV cell like that is not one.
-    plain = F.when(~text.rlike(r"(?i)[0-9.][df]\s*$"), text)
-    return nan_to_null(plain.try_cast("double"))
+    # Java also reads "1d", "2f" and "NaN" as numbers; here such a cell counts as missing.
+    plain = F.when(~text.rlike(r"(?i)([0-9.][df]|nan)\s*$"), text)
+    return plain.try_cast("double")
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:

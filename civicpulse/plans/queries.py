@@ -40,6 +40,8 @@ QUERIES: dict[str, Query] = {}
 
 # Two days on which timelines and selections are tested: within the events, and after them.
 TIMELINE_EVENTS = [("Mid January", "2024-01-15"), ("UK General Election", "2024-07-04")]
+# Size of files that one task reads whole.
+ROWS_PER_FILE = 100_000
 SELECTED_TOPIC, SELECTED_DAY = "1-URGENT", "1997-07-10"
 
 
@@ -454,7 +456,7 @@ def trend_long_file(spark, sf_dir):
 @query
 def posts_file(spark, sf_dir):
     path = scratch_path(spark, "posts")
-    write_table(standins.posts(spark, sf_dir).drop("day"), path, "csv")
+    write_table(standins.posts(spark, sf_dir).drop("day"), path, "csv", rows_per_file=ROWS_PER_FILE)
     return read_posts(spark, path).withColumn("created_at", dates.iso_minute(F.col("created_at")))
 
 
@@ -503,7 +505,8 @@ def speeches_file(spark, sf_dir):
         F.col("text").alias("p"),
     )
     path = scratch_path(spark, "speeches")
-    speech.write.option("rootTag", 'debate source="turns"').option("rowTag", "speech").format("xml").save(path)
+    writer = speech.write.format("xml").option("maxRecordsPerFile", ROWS_PER_FILE)
+    writer.option("rootTag", 'debate source="turns"').option("rowTag", "speech").save(path)
     return speeches.promote_attributes(
         read_speeches(spark, path), ["source", "conv", "turn", "role"]
     ).select("source", "conv", "turn", "role", "data")

@@ -13,11 +13,16 @@ def write_table(
     fmt: str = "parquet",
     partition_by: Sequence[str] = (),
     mode: str = "errorifexists",
+    rows_per_file: int = 0,
 ) -> None:
-    """Write as Parquet, or as CSV with a header and quotes doubled inside quoted text."""
+    """Write as Parquet, or as CSV with a header and quotes doubled inside quoted text.
+
+    ``rows_per_file`` limits files that can only be read whole, such as CSV with line breaks.
+    """
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"format must be parquet or csv, not {fmt!r}")
     writer = df.write.mode(mode).partitionBy(*partition_by)
+    writer = writer.option("maxRecordsPerFile", rows_per_file)
     if fmt == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
     else:

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from civicpulse.operators import regions, series, topk
-from civicpulse.plans import standins
+from civicpulse.operators import news, regions, series, topk
+from civicpulse.plans import reports, standins
 from civicpulse.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -58,7 +58,10 @@ def test_timeline_reads_its_series_once(spark):
 
 
 def test_page_text_is_worked_out_once(spark):
-    assert plan_of(QUERIES["html_text"](spark, SF_DIR)).count("html_to_text(") == 1
+    pages = standins.table(spark, SF_DIR, "pages")
+    texts = reports.article_text(standins.page_articles(spark, SF_DIR), pages)
+    for df in (QUERIES["html_text"](spark, SF_DIR), texts, news.summary_requests(texts)):
+        assert plan_of(df).count("html_to_text(") == 1
 
 
 def test_small_literal_tables_are_broadcast(spark):
