@@ -43,9 +43,11 @@ def topic_catalog(trends: DataFrame) -> DataFrame:
 
 
 def date_catalog(trends: DataFrame) -> DataFrame:
-    """The distinct dates in order; the most recent one is the default selection."""
-    dates = trends.select("date").distinct()
-    newest = dates.agg(F.max("date")).scalar()
+    """The distinct dates in order, with their rows; the most recent is the default selection."""
+    n_rows = F.col("n_rows")
+    dates = trends.groupBy("date").agg(F.count("*").alias("n_rows"))
+    # Asking for days with rows, which all have, keeps the count: both uses then share one pass.
+    newest = dates.agg(F.max(F.when(n_rows > 0, F.col("date")))).scalar()
     return dates.withColumn("is_default", F.col("date") == newest).orderBy("date")
 
 

@@ -315,8 +315,8 @@ SELECT topic_name, min(date) AS first_date, max(date) AS last_date
 FROM trend_long GROUP BY topic_name ORDER BY topic_name""",
     "catalog_dates": f"""
 WITH {TREND_LONG}
-SELECT DISTINCT date, date = (SELECT max(date) FROM trend_long) AS is_default
-FROM trend_long ORDER BY date""",
+SELECT date, count(*) AS n_rows, date = (SELECT max(date) FROM trend_long) AS is_default
+FROM trend_long GROUP BY date ORDER BY date""",
     "coverage": f"""
 WITH {TREND_LONG}, {CODES},
 requested AS (

@@ -193,9 +193,11 @@ def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as articles, each found by two searches."""
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
     found = table(spark, sf_dir, "pages").select("url", title.alias("title"), F.col("page_id").alias("pos"))
-    return found.withColumn("search_query", F.lit("broad")).unionByName(
-        found.withColumns({"search_query": F.lit("narrow"), "title": F.concat(F.lit("Narrow: "), "title")})
+    twice = F.array(
+        F.struct(F.lit("broad").alias("search_query"), F.col("title")),
+        F.struct(F.lit("narrow").alias("search_query"), F.concat(F.lit("Narrow: "), "title").alias("title")),
     )
+    return found.select("url", "pos", F.inline(twice))
 
 
 def _body(text: Column) -> Column:

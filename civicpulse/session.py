@@ -59,7 +59,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "civicp
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder named in ``spark.checkpoint.dir``."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    shared = spark.conf.get("spark.checkpoint.dir", "")
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")

@@ -57,6 +57,12 @@ def test_timeline_reads_its_series_once(spark):
     assert plan_of(timeline).split("Initial Plan")[0].count("ReusedExchange") >= 2
 
 
+def test_date_catalog_reads_its_table_once(spark):
+    catalog = QUERIES["catalog_dates"](spark, SF_DIR)
+    catalog.collect()
+    assert plan_of(catalog).split("Initial Plan")[0].count("ReusedExchange [date") == 1
+
+
 def test_page_text_is_worked_out_once(spark):
     pages = standins.table(spark, SF_DIR, "pages")
     texts = reports.article_text(standins.page_articles(spark, SF_DIR), pages)

@@ -129,7 +129,7 @@ def test_profile_catalogues_coverage(spark, rows, trends):
     assert rows.get(profile_trends(trends)) == [(D1, D2, 3, 2, 6)]
     assert rows.get(profile_trends(trends.filter("false"))) == [(None, None, 0, 0, 0)]
     assert [r[0] for r in topic_catalog(trends).collect()] == ["HS2", "S"]
-    assert [tuple(r) for r in date_catalog(trends).collect()] == [(D1, False), (D2, True)]
+    assert [tuple(r) for r in date_catalog(trends).collect()] == [(D1, 4, False), (D2, 2, True)]
     requested = rows.make("topic_name string", ("HS2",), ("S",), ("absent",))
     assert rows.get(coverage(trends, requested, region_code_table(spark))) == [
         ("HS2", 5, 0, False), ("S", 1, 1, False), ("absent", 0, 0, True)

@@ -180,5 +180,5 @@ def test_a_topic_is_read_from_its_own_folder(spark, rows, tmp_path):
 def test_scratch_paths_are_fresh_and_shared(spark):
     one, two = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert one != two
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    shared = spark.conf.get("spark.checkpoint.dir", "")
     assert not shared or one.startswith(shared)
