@@ -188,7 +188,9 @@ def _summary(text: str) -> str:
     return rf"regexp_replace(nullif({_trim(text)}, ''), '(?i)^({_PREFIXES})\s*', '')"
 
 
-_OPENINGS = "[" + ", ".join(_text(p) for p in RESPONSE_OPENINGS) + "]"
+_OPENING = "[{}][turn % {} + 1]".format(
+    ", ".join(_text(p) for p in RESPONSE_OPENINGS), len(RESPONSE_OPENINGS)
+)
 _TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
 
 # Oracles ---------------------------------------------------------------------------------------
@@ -333,7 +335,8 @@ peaks AS (
   SELECT topic_name, region, date AS peak_date, interest_value AS peak FROM region_sums
   QUALIFY row_number() OVER (PARTITION BY topic_name, region ORDER BY interest_value DESC, date) = 1),
 means AS (
-  SELECT topic_name, region, sum(interest_value::decimal(28,2))::double / count(*) AS average, arg_max(interest_value, date) AS current
+  SELECT topic_name, region, sum(interest_value::decimal(28,2))::double / count(*) AS average,
+         arg_max(interest_value, date) AS current
   FROM region_sums GROUP BY topic_name, region)
 SELECT topic_name, region, {_two_places('average')} AS average_interest,
        trunc(peak)::bigint AS peak_interest, peak_date,
@@ -374,7 +377,8 @@ SELECT topic, 'United Kingdom' AS geography, {_two_places('average')} AS average
             '". Try a different search term or timeframe.' END AS error,
        top_regions, top_queries, rising_queries
 FROM requested LEFT JOIN statistics USING (topic) LEFT JOIN peaks USING (topic)
-LEFT JOIN direction USING (topic) LEFT JOIN region_lists USING (topic) LEFT JOIN query_lists USING (topic)""",
+LEFT JOIN direction USING (topic) LEFT JOIN region_lists USING (topic)
+LEFT JOIN query_lists USING (topic)""",
     "dedupe_articles": """
 SELECT md5(text) AS url, lang AS title, source AS search_query, doc_id AS pos FROM documents
 QUALIFY row_number() OVER (
@@ -389,7 +393,7 @@ SELECT doc_id::varchar AS url,
 FROM documents WHERE {_trim('text')} <> ''""",
     "clean_summaries": rf"""
 SELECT conv_id || '/' || turn AS url,
-       {_summary(f"{_OPENINGS}[turn % {len(RESPONSE_OPENINGS)} + 1] || ' ' || chr(10) || text || chr(10)")} AS summary
+       {_summary(f"{_OPENING} || ' ' || chr(10) || text || chr(10)")} AS summary
 FROM conversations""",
     "attach_summaries": """
 SELECT documents.doc_id::varchar AS url, source AS headline, 'quality ' || quality AS summary

@@ -38,11 +38,12 @@ from civicpulse.sources.trends import merge_trend_dir, read_counts, read_trend_l
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Two days on which timelines and selections are tested: within the events, and after them.
+# One event within the dates of the series, one after them.
 TIMELINE_EVENTS = [("Mid January", "2024-01-15"), ("UK General Election", "2024-07-04")]
+# A topic and a day with rows at every scale but the smallest.
+SELECTED_TOPIC, SELECTED_DAY = "1-URGENT", "1997-07-10"
 # Size of files that one task reads whole.
 ROWS_PER_FILE = 100_000
-SELECTED_TOPIC, SELECTED_DAY = "1-URGENT", "1997-07-10"
 
 
 def query(run: Query) -> Query:
@@ -445,9 +446,8 @@ def trend_dir_file(spark, sf_dir):
 
 @query
 def trend_long_file(spark, sf_dir):
-    trends = standins.trend_long(spark, sf_dir).select(
-        "date", F.col("topic_name").alias("Program"), "region", F.col("interest_value").alias("value"), "row_id"
-    )
+    renamed = {"topic_name": "Program", "interest_value": "value"}
+    trends = standins.trend_long(spark, sf_dir).drop("region_name").withColumnsRenamed(renamed)
     path = scratch_path(spark, "trend-long")
     write_table(trends, path, "csv", partition_by=["region"])
     return read_trend_long(spark, path).withColumn("row_id", F.col("row_id").cast("long"))
