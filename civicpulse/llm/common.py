@@ -62,6 +62,14 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
     return text_rows(docs).withColumn("key", F.xxhash64("text"))
 
 
+def fresh(columns: list[str], stem: str) -> str:
+    """A column name that is not among ``columns``, in any case."""
+    taken = {c.lower() for c in columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 class Texts:
     """A chunk of texts as one byte array; ``first`` and ``last`` bound each text."""
 
@@ -168,3 +176,20 @@ def lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
 def numbers(column: pa.Array, dtype=np.int64) -> np.ndarray:
     """The values of a column of lists, flattened."""
     return np.asarray(column.flatten()).astype(dtype, copy=False)
+
+
+#: Case folded and punctuation blanked, for words that need not match to the letter.
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[0x41:0x5B] += 0x20
+_FOLD[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 0x20
+
+
+def folded(texts: Texts) -> Texts:
+    """The same texts with ASCII letters in lower case and ASCII punctuation as spaces."""
+    out = object.__new__(Texts)
+    out.data, out.bounds, out.columns = _FOLD[texts.data], texts.bounds, texts.columns
+    return out
+
+
+def text_array(values: list) -> pa.Array:
+    return pa.array([v or "" for v in values], pa.string())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicpulse.llm import packing, quality, sharding, tokens
+from civicpulse.llm import decontamination, jaccard, packing, quality, sharding, tokens
 from civicpulse.llm.common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -15,6 +15,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "n_equal")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -23,6 +28,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def fold() -> F.Column:
     """The remainder that decides which rows are held out; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
@@ -35,7 +44,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op7_sharding, op8_packing, op10_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op4_token_counts, op6_decontamination, op7_sharding, op8_packing, op9_jaccard_join, op10_quality,
+    )
+}
 
 #: Queries that DuckDB can express.
 ORACLES: dict[str, str] = {}
