@@ -74,7 +74,7 @@ class Texts:
     """A chunk of texts as one byte array; ``first`` and ``last`` bound each text."""
 
     def __init__(self, texts: pa.Array, columns: dict[str, pa.Array]):
-        binary = texts.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
+        binary = texts.cast(pa.large_binary()).fill_null(b"")
         offsets = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
         raw = binary.buffers()[2]
         whole = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
@@ -88,6 +88,11 @@ class Texts:
     def words(self) -> "Words":
         return Words(self)
 
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each text."""
+        begin, end = self.bounds[:-1], self.bounds[1:]
+        return mixed(_spans(_BYTE_CODES[self.data], begin, end) + (end - begin).astype(np.uint64))
+
 
 class Words:
     """The words of a chunk: byte ranges, the text each is in, and 64-bit hashes."""
@@ -148,14 +153,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[Texts]:
-    """The rows of Arrow batches in order, in chunks of at most ``limit`` bytes of text."""
+def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, rows: int = 1 << 16) -> Iterator[Texts]:
+    """The rows of Arrow batches in order, in chunks of at most ``limit`` bytes of text and ``rows`` rows."""
     for batch in batches:
         sizes = np.asarray(pc.binary_length(batch.column("text")).fill_null(0))
         low = 0
         total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         while low < batch.num_rows:
             high = max(low + 1, int(np.searchsorted(total, total[low] + limit, "right")) - 1)
+            high = min(high, low + rows)
             part = batch.slice(low, high - low)
             names = part.schema.names
             yield Texts(part.column("text"), {n: part.column(n) for n in names if n != "text"})
@@ -193,3 +199,22 @@ def folded(texts: Texts) -> Texts:
 
 def text_array(values: list) -> pa.Array:
     return pa.array([v or "" for v in values], pa.string())
+
+
+def groups_of(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that no value of the sorted column ``name`` is in two of them."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = np.asarray(batch.column(name))
+        if not len(keys):
+            continue
+        cut = int(np.flatnonzero(keys == keys[-1])[0])
+        if rest and rest[-1].column(name)[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+            rest = []
+        if cut:
+            yield pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]

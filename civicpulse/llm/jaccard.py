@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicpulse.llm.common import Words, chunks, fresh, keyed_rows, mixed, signed
+from civicpulse.llm.common import Words, chunks, fresh, groups_of, keyed_rows, mixed, signed
 from civicpulse.llm.components import components
 
 WORDS = 5
@@ -113,25 +113,6 @@ def _split(count: int):
     return divided
 
 
-def groups_of(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that no value of the sorted column ``name`` is in two of them."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        keys = np.asarray(batch.column(name))
-        if not len(keys):
-            continue
-        cut = int(np.flatnonzero(keys == keys[-1])[0])
-        if rest and rest[-1].column(name)[-1].as_py() != keys[0]:
-            yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
-            rest = []
-        if cut:
-            yield pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
-            rest = []
-        rest.append(batch.slice(cut))
-    if rest:
-        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
-
-
 def roots_of(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest member of each one's component among 0 .. count - 1, for links a - b."""
     root = np.arange(count)

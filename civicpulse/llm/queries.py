@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicpulse.llm import decontamination, jaccard, packing, quality, sharding, tokens
+from civicpulse.llm import decontamination, jaccard, neighbours, packing, quality, sharding, tokens
 from civicpulse.llm.common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -15,6 +15,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "start", "n_words", "n_equal")
@@ -47,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op4_token_counts, op6_decontamination, op7_sharding, op8_packing, op9_jaccard_join, op10_quality,
+        op4_token_counts, op5_nearest_neighbours, op6_decontamination, op7_sharding, op8_packing, op9_jaccard_join, op10_quality,
     )
 }
 
