@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicpulse.llm import decontamination, jaccard, neighbours, packing, quality, sharding, tokens
+from civicpulse.llm import decontamination, jaccard, neighbours, packing, quality, repeats, sharding, tokens
 from civicpulse.llm.common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op4_token_counts, op5_nearest_neighbours, op6_decontamination, op7_sharding, op8_packing, op9_jaccard_join, op10_quality,
+        op3_repeated_passages, op4_token_counts, op5_nearest_neighbours, op6_decontamination, op7_sharding, op8_packing, op9_jaccard_join, op10_quality,
     )
 }
 
