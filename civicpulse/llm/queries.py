@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicpulse.llm import decontamination, jaccard, neighbours, packing, quality, repeats, sharding, tokens
+from civicpulse.llm import decontamination, jaccard, neighbours, packing, pii, quality, repeats, sharding, tokens
 from civicpulse.llm.common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op3_repeated_passages, op4_token_counts, op5_nearest_neighbours, op6_decontamination, op7_sharding, op8_packing, op9_jaccard_join, op10_quality,
+        op2_personal_data, op3_repeated_passages, op4_token_counts, op5_nearest_neighbours, op6_decontamination, op7_sharding, op8_packing, op9_jaccard_join, op10_quality,
     )
 }
 
