@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicpulse.llm import decontamination, jaccard, neighbours, packing, pii, quality, repeats, sharding, tokens
+from civicpulse.llm import decontamination, jaccard, neighbours, packing, pii, quality, repeats, sharding, tokens, urls
 from civicpulse.llm.common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
@@ -60,9 +64,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_personal_data, op3_repeated_passages, op4_token_counts, op5_nearest_neighbours, op6_decontamination, op7_sharding, op8_packing, op9_jaccard_join, op10_quality,
+        op1_url_filter, op2_personal_data, op3_repeated_passages, op4_token_counts, op5_nearest_neighbours,
+        op6_decontamination, op7_sharding, op8_packing, op9_jaccard_join, op10_quality,
     )
 }
 
 #: Queries that DuckDB can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_url_filter": urls.judge_sql(), "op7_sharding": sharding.place_sql(SHARDS)}

@@ -65,3 +65,12 @@ def place(docs: DataFrame, shards: list[str], key: str = "doc_id", slots: int =
     )
     keys = docs.select(F.col(key).alias(key), slot_of(key, slots))
     return keys.join(F.broadcast(lookup), "slot").select(key, "slot", "shard")
+
+
+def place_sql(shards: list[str], key: str = "doc_id", slots: int = SLOTS) -> str:
+    """Placement in the same table for DuckDB, over the view ``documents``."""
+    owners = ",".join(map(str, lookup_table(shards, slots)))
+    return f"""
+      WITH owners AS (SELECT string_split('{owners}', ',') AS owner, {shards!r} AS shard),
+        slotted AS (SELECT {key}, ('0x' || substr(md5(coalesce({key}::VARCHAR, '')), 1, 8))::BIGINT % {slots} AS slot FROM documents)
+      SELECT {key}, slot, shard[owner[slot + 1]::INT + 1] AS shard FROM slotted, owners"""
