@@ -14,12 +14,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicpulse.llm.common import Texts, chunks, lists, numbers, text_rows
+from civicpulse.llm.common import Texts, chunks, groups_of, lists, mixed, text_rows
 
 VOCABULARY = "piece_bpe_32k.model"
 LIMIT = 4096
-#: Bytes of text whose pre-tokens are counted together before they are shuffled.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text and texts whose pre-tokens are counted together before they are shuffled.
+BLOCK_BYTES, BLOCK_TEXTS = 8 << 20, 1 << 16
+#: A pre-token of more than this share of a block's texts is frequent: its pieces are counted there.
+FREQUENT = 1 / 64
 _SPACE = "▁"
 
 
@@ -68,105 +70,157 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[Texts]:
             text = pc.replace_substring(batch.column("text"), _SPACE, " ")
             yield batch.set_column(batch.schema.get_field_index("text"), "text", text)
 
-    return chunks(spaced(), BLOCK_BYTES)
+    return chunks(spaced(), BLOCK_BYTES, BLOCK_TEXTS)
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for texts in _plain(batches):
-        found = pretokens(texts)[0].dictionary_encode().dictionary.cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([found], ["pretoken"])
+def piece_counts(processor: sentencepiece.SentencePieceProcessor, found: list[bytes]) -> list[int]:
+    """How many pieces each pre-token has.
+
+    What the tokenizer puts before a text stands for a pre-token's first space; before a line feed
+    it is one piece too many.
+    """
+    words = [w.decode() for w in found]
+    ids = processor.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
+    return [1 if w == " " else len(i) - (w[0] == "\n") for w, i in zip(words, ids)]
+
+
+_FREQUENCIES = (
+    "bucket int, block long, words binary, lengths binary, texts binary, places binary, times binary, "
+    "doc_id array<long>, n_bytes array<long>"
+)
+_SUMS = "block long, places binary, sums binary, doc_id array<long>, n_bytes array<long>"
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block and distinct pre-token: the places of its texts in the block, and how often.
+def _frequencies(path: str, buckets: int):
+    """Per block and bucket of pre-tokens: the pre-tokens, in which texts each is, and how often.
 
-    One more row for a block lists its documents; its pre-token is no UTF-8, so it meets no count.
+    One more row for a block has its documents and the pieces of their frequent pre-tokens.
     """
-    schema = pa.schema([
-        ("pretoken", pa.binary()), ("block", pa.int64()), ("place", pa.list_(pa.int32())),
-        ("times", pa.list_(pa.int32())), ("doc_id", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())),
-    ])
-    block = TaskContext.get().partitionId() << 32
-    for texts in _plain(batches):
-        found, owner = pretokens(texts)
-        coded = found.dictionary_encode()
-        code = np.asarray(coded.indices).astype(np.int64)
-        pair, times = np.unique(code * len(texts) + owner, return_counts=True)
-        code, place = pair // len(texts), pair % len(texts)
-        sizes = np.bincount(code, minlength=len(coded.dictionary))
-        n, none = len(sizes), pa.nulls(len(sizes), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([
-            coded.dictionary.cast(pa.binary()), pa.array(np.full(n, block)),
-            lists(pa.array(place.astype(np.int32)), sizes), lists(pa.array(times.astype(np.int32)), sizes), none, none,
-        ], schema=schema)
-        one = np.array([len(texts)])
-        yield pa.RecordBatch.from_arrays([
-            pa.array([b"\xff" + block.to_bytes(8)], pa.binary()), pa.array([block]),
-            lists(pa.array(np.arange(len(texts), dtype=np.int32)), one), pa.nulls(1, pa.list_(pa.int32())),
-            lists(texts.columns["doc_id"], one), lists(texts.columns["n_bytes"], one),
-        ], schema=schema)
-        block += 1
-
-
-def _pieces(path: str):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        processor = _processor(path)
-        for batch in batches:
-            words = batch.column("pretoken").cast(pa.string()).to_pylist()
-            # What the tokenizer puts before a text stands for a pre-token's first space; before a
-            # line feed it is one piece too many.
-            ids = processor.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
-            sizes = [1 if w == " " else len(i) - (w[0] == "\n") for w, i in zip(words, ids)]
-            yield pa.RecordBatch.from_arrays([batch.column("pretoken"), pa.array(sizes, pa.int64())], ["pretoken", "pieces"])
+        processor, block = _processor(path), TaskContext.get().partitionId() << 32
+        for texts in _plain(batches):
+            found, owner = pretokens(texts)
+            coded = found.dictionary_encode()
+            n, words = len(texts), coded.dictionary
+            pair, times = np.unique(np.asarray(coded.indices).astype(np.int64) * n + owner, return_counts=True)
+            code, place = pair // n, pair % n
+            in_texts = np.bincount(code, minlength=len(words))
+            often = in_texts > max(1, n * FREQUENT)
+            pieces = np.zeros(len(words), np.int64)
+            pieces[often] = piece_counts(processor, words.filter(pa.array(often)).to_pylist())
+            known = np.bincount(place, weights=times * pieces[code], minlength=n).astype(np.int64)
+            first = np.concatenate([[0], np.cumsum(in_texts)])
+            rare = np.flatnonzero(~often)
+            bucket = (word_hashes(words)[rare] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rare, bucket = rare[order], bucket[order]
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(rare) else np.zeros(0, np.int64)
+            size = np.asarray(pc.binary_length(words)).astype("<u4")
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            for low, high in zip(starts, np.append(starts[1:], len(rare))):
+                own = rare[low:high]
+                at = np.repeat(first[own] - np.concatenate([[0], np.cumsum(in_texts[own])[:-1]]), in_texts[own])
+                at += np.arange(len(at))
+                values = (
+                    int(bucket[low]), b"".join(words.take(pa.array(own)).to_pylist()), size[own].tobytes(),
+                    in_texts[own].astype("<u4").tobytes(), place[at].astype("<u2").tobytes(), times[at].astype("<u4").tobytes(),
+                )
+                for column, value in zip(rows, values):
+                    column.append(value)
+            one, more = np.array([n]), len(rows[0])
+            own = int(mixed(np.array([block], np.uint64))[0] % np.uint64(buckets))
+            none = pa.nulls(more, pa.list_(pa.int64()))
+            with_documents = [
+                pa.array([own], pa.int32()), pa.array([block]), *(pa.nulls(1, pa.binary()) for _ in range(3)),
+                pa.array([np.arange(n, dtype="<u2").tobytes()]), pa.array([known.astype("<i8").tobytes()]),
+                lists(texts.columns["doc_id"], one), lists(texts.columns["n_bytes"], one),
+            ]
+            names = [c.split()[0] for c in _FREQUENCIES.split(", ")]
+            yield pa.RecordBatch.from_arrays(with_documents, names)
+            for low in range(0, more, 256):
+                part = slice(low, low + 256)
+                binary = [pa.array(column[part], pa.binary()) for column in rows[1:]]
+                count = len(binary[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows[0][part], pa.int32()), pa.array(np.full(count, block)), *binary, none[part], none[part]], names
+                )
+            block += 1
 
     return counted
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = np.asarray(pc.list_value_length(batch.column("place")))
-        row = np.repeat(np.arange(batch.num_rows), sizes)
-        known = np.asarray(batch.column("pieces").is_valid())
-        block, place = np.asarray(batch.column("block")), numbers(batch.column("place"))
-        pieces = np.asarray(batch.column("pieces").fill_null(0))
-        counted = known[row]
-        tokens = numbers(batch.column("times")) * pieces[row[counted]]
-        pair = np.rec.fromarrays([block[row[counted]], place[counted]])
-        keys, index = np.unique(pair, return_inverse=True)
-        total = np.bincount(index, weights=tokens, minlength=len(keys)).astype(np.int64)
-        n, rest = len(keys), row[~counted]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([keys.f0, block[rest]])), pa.array(np.concatenate([keys.f1, place[~counted]])),
-            pa.array(np.concatenate([total, np.zeros(len(rest), np.int64)])),
-            pa.concat_arrays([pa.nulls(n, pa.int64()), batch.column("doc_id").flatten()]),
-            pa.concat_arrays([pa.nulls(n, pa.int64()), batch.column("n_bytes").flatten()]),
-        ], ["block", "place", "tokens", "doc_id", "n_bytes"])
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each value of a binary array."""
+    return Texts(words.cast(pa.large_binary()), {}).hashes()
+
+
+def _joined(path: str):
+    """Meet the pre-tokens of this task's buckets with their piece counts, each counted once."""
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        processor, known = _processor(path), {}
+        for batch in batches:
+            places, sums = [], []
+            for row in batch.select(["words", "lengths", "texts", "places", "times"]).to_pylist():
+                place = np.frombuffer(row["places"], "<u2")
+                if row["words"] is None:
+                    places.append(row["places"])
+                    sums.append(row["times"])
+                    continue
+                ends = np.cumsum(np.frombuffer(row["lengths"], "<u4"), dtype=np.int64).tolist()
+                raw = row["words"]
+                words = [raw[a:b] for a, b in zip([0, *ends], ends)]
+                new = [w for w in words if w not in known]
+                known.update(zip(new, piece_counts(processor, new)))
+                pieces = np.array([known[w] for w in words], np.int64)
+                tokens = np.repeat(pieces, np.frombuffer(row["texts"], "<u4")) * np.frombuffer(row["times"], "<u4")
+                touched, index = np.unique(place, return_inverse=True)
+                places.append(touched.tobytes())
+                sums.append(np.bincount(index, weights=tokens).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("block"), pa.array(places, pa.binary()), pa.array(sums, pa.binary()), batch.column("doc_id"), batch.column("n_bytes")],
+                [c.split()[0] for c in _SUMS.split(", ")],
+            )
+
+    return summed
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document, from all rows of its block."""
+    for batch in groups_of("block", batches):
+        block = np.asarray(batch.column("block"))
+        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        for low, high in zip(starts, np.append(starts[1:], len(block))):
+            part = batch.slice(low, high - low)
+            documents = part.filter(part.column("doc_id").is_valid())
+            n_bytes = documents.column("n_bytes").flatten()
+            total = np.zeros(len(n_bytes), np.int64)
+            for places, sums in zip(part.column("places").to_pylist(), part.column("sums").to_pylist()):
+                total[np.frombuffer(places, "<u2")] += np.frombuffer(sums, "<i8")
+            yield pa.RecordBatch.from_arrays(
+                [documents.column("doc_id").flatten(), n_bytes, pa.array(total)], ["doc_id", "n_bytes", "n_tokens"]
+            )
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
     """Per document: doc_id, n_bytes (UTF-8), n_tokens, and whether these are more than ``limit``.
 
-    Each distinct pre-token of the corpus is tokenized once. A block of texts sends each of its
-    pre-tokens once, with the places and frequencies of its documents, so a frequent pre-token has
-    a row per block; the join's skewed partitions are split. Ids are never written out.
+    The pre-tokens of a block of texts are dealt to buckets by their hash, with the places and
+    frequencies of their texts. The task of a bucket counts the pieces of each distinct pre-token
+    once, joins the counts to the frequencies, and sends a sum per text back to its block. A
+    pre-token that many texts of a block share is counted there, so no frequent one is gathered.
+    There are at least as many buckets as parts of the input, which bounds what a task keeps. Ids
+    are never written out.
 
     Null and empty texts have 0 tokens. Rows are counted one by one, so repeated rows, doc_ids with
     several texts and null doc_ids all keep a row each; an empty table gives an empty one.
     """
+    spark = docs.sparkSession
+    path = public_tokenizers.path(vocabulary)
     rows = text_rows(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    pieces = (
-        rows.mapInArrow(_distinct, "pretoken binary").distinct()
-        .mapInArrow(_pieces(public_tokenizers.path(vocabulary)), "pretoken binary, pieces long")
-    )
-    frequencies = rows.mapInArrow(
-        _frequencies,
-        "pretoken binary, block long, place array<int>, times array<int>, doc_id array<long>, n_bytes array<long>",
-    )
-    parts = frequencies.join(pieces, "pretoken", "left").mapInArrow(
-        _summed, "block long, place long, tokens long, doc_id long, n_bytes long"
-    )
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    sums = rows.mapInArrow(_frequencies(path, buckets), _FREQUENCIES).repartition(buckets, "bucket").mapInArrow(_joined(path), _SUMS)
     return (
-        parts.groupBy("block", "place")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+        sums.repartition("block").sortWithinPartitions("block")
+        .mapInArrow(_totals, "doc_id long, n_bytes long, n_tokens long")
+        .withColumn("over_limit", F.col("n_tokens") > limit)
+    )
