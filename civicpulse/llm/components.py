@@ -5,28 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a small table that share a partition, so that a round doesn't write many tiny files.
+ROWS = 100_000
+
+
+def narrowed(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many partitions as its number of rows asks for, if it has more; no shuffle."""
+    return df.coalesce(1 + rows // ROWS)
+
 
 def components(links: DataFrame) -> DataFrame:
     """``vertex`` and ``root``, the smallest vertex of its component, from links ``a``, ``b``.
 
-    Each round takes the smallest label among the neighbours and then the label's own label, so a
-    path of n links takes about log n rounds. The labels are checkpointed every round. Minima are
-    combined before the shuffle, so a vertex with very many links costs no task more than others.
+    Each round takes the smallest label among a vertex and its neighbours, and then the label's own
+    label, so a path of n links takes about log n rounds. The labels are checkpointed every round.
+    Minima are combined before the shuffle, so a vertex with very many links costs no task more.
     """
-    both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("low")).select(
+    links = links.where("a <> b").select("a", "b").distinct().checkpoint()
+    count = links.count()
+    links = narrowed(links, count)
+    ends = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = ends.groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("low")).select(
         "vertex", F.least("vertex", "low").alias("root")
-    ).checkpoint()
+    )
+    labels = narrowed(labels, count).checkpoint()
     while True:
-        near = both.join(labels.select(F.col("vertex").alias("b"), F.col("root").alias("near")), "b")
-        lower = near.groupBy(F.col("a").alias("vertex")).agg(F.min("near").alias("near"))
-        stepped = labels.join(lower, "vertex", "left").select(
-            "vertex", F.col("root").alias("before"), F.least("root", "near").alias("root")
-        ).checkpoint()
-        roots = stepped.select(F.col("vertex").alias("root"), F.col("root").alias("above"))
-        jumped = stepped.join(roots, "root", "left").select(
-            "vertex", "before", F.least("root", F.coalesce("above", "root")).alias("root")
-        ).checkpoint()
+        of_b = labels.select(F.col("vertex").alias("b"), F.col("root").alias("near"))
+        near = ends.join(of_b, "b").select(F.col("a").alias("vertex"), "near", F.lit(None).cast("long").alias("before"))
+        own = labels.select("vertex", F.col("root").alias("near"), F.col("root").alias("before"))
+        stepped = near.union(own).groupBy("vertex").agg(F.min("near").alias("root"), F.max("before").alias("before"))
+        above = labels.select(F.col("vertex").alias("root"), F.col("root").alias("above"))
+        jumped = stepped.join(above, "root").select("vertex", "before", F.least("root", "above").alias("root"))
+        jumped = narrowed(jumped, count).checkpoint()
         changed = jumped.where("root <> before").limit(1).count()
         labels = jumped.select("vertex", "root")
         if not changed:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicpulse.llm.common import Words, chunks, fresh, groups_of, keyed_rows, mixed, signed
-from civicpulse.llm.components import components
+from civicpulse.llm.components import components, narrowed
 
 WORDS = 5
 #: Similarity from which documents are linked, as a fraction: 4 / 5.
@@ -20,11 +20,12 @@ SIMILAR = (4, 5)
 SAMPLES = 64
 #: Chance that a linked pair meets in a bucket.
 RECALL = 0.999999
-#: Sets of a bucket or block that are compared with each other.
-BUCKET = 400
+#: Sets of a bucket that are compared with each other; a larger one is split.
+BUCKET = 1000
+#: Sets of a block when sets are compared exactly.
 BLOCK = 256
 #: Splits of a bucket that stays larger; after them it is compared block by block.
-DEPTH = 4
+DEPTH = 3
 #: Share of equal samples from which a pair is verified: five standard deviations below 0.8.
 PROMISING = 0.55
 
@@ -130,10 +131,14 @@ def roots_of(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Brute force within buckets, on samples; what is alike is joined by as few links as do."""
+    """Brute force within buckets, on samples; what is alike is joined by as few links as do.
+
+    Where two blocks of a bucket meet, each block's own links come from its other task, so only
+    links between what each block joins by itself are given.
+    """
     for batch in groups_of("bucket", batches):
         bucket, ids = np.asarray(batch.column("bucket")), np.asarray(batch.column("set_id"))
-        samples = _matrix(batch.column("samples"))
+        samples, side = _matrix(batch.column("samples")), np.asarray(batch.column("side"))
         start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         size = np.diff(np.append(start, len(bucket)))
         #: Partners of each row: those after it in its bucket.
@@ -148,8 +153,13 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             alike = (samples[left] == samples[right]).mean(1) >= PROMISING if len(left) else np.zeros(0, bool)
             links.append((left[alike], right[alike]))
             low = high
-        root = roots_of(len(bucket), np.concatenate([x for x, _ in links]), np.concatenate([x for _, x in links]))
-        linked = root != np.arange(len(root))
+        left, right = (np.concatenate([link[i] for link in links]) for i in (0, 1))
+        mixed_sides = np.maximum.reduceat(side, start) != np.minimum.reduceat(side, start)
+        same = side[left] == side[right]
+        apart = np.repeat(mixed_sides, size)
+        within = roots_of(len(bucket), left[same], right[same])
+        root = roots_of(len(bucket), left, right)
+        linked = (root != np.arange(len(root))) & (~apart | (within == np.arange(len(root))))
         yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[root[linked]])], ["a", "b"])
 
 
@@ -160,15 +170,18 @@ def _candidates(sets: DataFrame, recall: float) -> DataFrame:
     for depth in range(DEPTH + 1):
         sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         shared = buckets.join(sizes, "bucket")
-        small = shared.where(F.col("n") <= BUCKET) if depth < DEPTH else _blocked(shared)
-        dealt = small.select("bucket", "set_id").join(samples, "set_id")
-        found = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_promising, "a long, b long").distinct()
+        small = shared.where(F.col("n") <= BUCKET).select("bucket", F.lit(0).alias("side"), "set_id") if depth < DEPTH else _blocked(shared)
+        dealt = small.join(samples, "set_id").repartition("bucket").sortWithinPartitions("bucket")
+        found = dealt.mapInArrow(_promising, "a long, b long")
         links = found if links is None else links.union(found)
         if depth < DEPTH:
             large = shared.where(F.col("n") > BUCKET).select("bucket", "set_id").checkpoint()
-            if large.isEmpty():
+            count = large.count()
+            if not count:
                 break
+            large = narrowed(large, count)
             buckets = large.join(samples, "set_id").mapInArrow(_split(0), "bucket long, set_id long").distinct().checkpoint()
+            buckets = narrowed(buckets, count)
     return links
 
 
@@ -176,9 +189,10 @@ def _blocked(shared: DataFrame) -> DataFrame:
     """Buckets of any size as pairs of blocks of bounded size; a smaller bucket is one block."""
     count = F.ceil(F.col("n") / BUCKET).cast("int")
     own = F.pmod(F.xxhash64("set_id"), count).cast("int")
+    low, high = F.least("own", "other"), F.greatest("own", "other")
     return shared.withColumn("own", own).select(
         "set_id", F.col("bucket").alias("path"), "own", F.explode(F.sequence(F.lit(0), count - 1)).alias("other")
-    ).select("set_id", F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
+    ).select(F.xxhash64("path", low, high).alias("bucket"), (F.col("own") == low).cast("int").alias("side"), "set_id")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
