@@ -61,3 +61,6 @@ TOP_REGIONS = 10
 TOP_QUERIES = 10
 TOP_POSTS = 10
 PREVIEW_ROWS = 50
+
+# What a report says of a topic without data; the topic goes between.
+NO_DATA = ('No data found for "', '". Try a different search term or timeframe.')

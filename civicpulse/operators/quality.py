@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -37,9 +37,13 @@ def require_columns(df: DataFrame, names: Iterable[str] = TREND_COLUMNS) -> Data
     return df
 
 
-def missing_to_null(text: Column) -> Column:
-    """NULL for text that stands for a missing cell."""
-    return F.when(~text.isin(MISSING_MARKERS), text)
+def missing_cells(df: DataFrame) -> DataFrame:
+    """NULL for text that stands for a missing cell, as cells of a CSV file may have it.
+
+    Only for tables read from such files: in a typed table ``NA`` is a name like any other.
+    """
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    return df.withColumns({c: F.when(~F.col(f"`{c}`").isin(MISSING_MARKERS), F.col(f"`{c}`")) for c in texts})
 
 
 def lenient_cast(df: DataFrame, clamp: bool = False) -> DataFrame:
@@ -55,9 +59,9 @@ def lenient_cast(df: DataFrame, clamp: bool = False) -> DataFrame:
         {
             "date": F.col("date").try_cast("date"),
             "interest_value": clamp_value(value) if clamp else value,
-            "region": missing_to_null(F.col("region").cast("string")),
-            "topic_name": missing_to_null(F.col("topic_name").cast("string")),
-            "region_name": missing_to_null(F.col("region_name").cast("string")),
+            "region": F.col("region").cast("string"),
+            "topic_name": F.col("topic_name").cast("string"),
+            "region_name": F.col("region_name").cast("string"),
         }
     ).dropna(subset=["date", "interest_value", "region", "topic_name"])
 

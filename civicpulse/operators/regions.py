@@ -12,10 +12,6 @@ from civicpulse.functions.labels import tooltip
 from civicpulse.functions.numbers import mean_of
 from civicpulse.session import literal_table
 
-# A map with more shapes than this is refused by choropleth_table.
-MAX_SHAPES = 100_000
-
-
 def select_trends(trends: DataFrame, topic: str, day: str) -> DataFrame:
     """The rows of one topic and one calendar day."""
     return trends.filter((F.col("topic_name") == topic) & (F.col("date") == F.lit(day).cast("date")))
@@ -70,44 +66,78 @@ def region_lookup(values: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def region_map_values(values: DataFrame, codes: DataFrame) -> DataFrame:
-    """Values that can be drawn on a map: regions without a code are dropped."""
+    """Values that can be drawn on a map: regions without a code are dropped.
+
+    A region that ``values`` holds under its name and under its code keeps both rows;
+    ``mapped_values`` combines them.
+    """
     return region_lookup(values, codes).filter(F.col("region_code").isNotNull())
 
 
+def mapped_values(
+    trends: DataFrame,
+    codes: DataFrame,
+    how: str = "mean",
+    keys: Sequence[str] = ("topic_name", "date"),
+    tie: str | None = None,
+) -> DataFrame:
+    """``region_values`` per region code, however a row names its region.
+
+    Rows are reduced per region text before the code is looked up, and what is left is combined
+    per code. Regions without a code are dropped.
+    """
+    value = F.col("interest_value")
+    if how in ("mean", "sum"):
+        parts = trends.groupBy(*keys, "region").agg(F.sum(value).alias("total"), F.count(value).alias("n"))
+        total, n = F.sum("total").cast("double"), F.sum("n").cast("double")
+        whole = F.try_divide(total, n) if how == "mean" else total
+        return region_map_values(parts, codes).groupBy(*keys, "region_code").agg(whole.alias("interest_value"))
+    if how != "latest":
+        raise ValueError(f"how must be mean, sum or latest, not {how!r}")
+    days = [*[k for k in keys if k != "date"], "date"]
+    order = F.col(tie) if tie else value
+    parts = trends.groupBy(*days, "region").agg(F.max_by(value, order).alias("newest"), F.max(order).alias("order"))
+    daily = region_map_values(parts, codes).groupBy(*days, "region_code").agg(
+        F.max_by("newest", "order").cast("double").alias("interest_value")
+    )
+    if "date" in keys:
+        return daily
+    return daily.groupBy(*keys, "region_code").agg(
+        F.max("date").alias("date"), F.max_by("interest_value", "date").alias("interest_value")
+    )
+
+
 def choropleth_table(
     shapes: DataFrame,
     values: DataFrame,
     on: str = "region_code",
     keys: Sequence[str] = ("topic_name", "date"),
+    tips: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per map shape for every combination of the keys, with its tooltip.
+    """Map shapes with their values and tooltips: ``shapes`` LEFT JOIN ``values``.
+
+    ``values`` has one row per region for each combination of the keys. ``on`` binds them to shapes
+    by ``region_code`` or by ``region_name``. A shape has a row for each combination that fills it,
+    and one row with NULL keys and value if none does. For one selection, filter its values and
+    pass no keys: every shape then has one row. Values without a shape are left out.
 
-    ``values`` has one row per region for each combination, as ``region_values`` gives it. ``on``
-    binds values to shapes by ``region_code`` or by ``region_name``. Shapes without a value stay,
-    with a NULL value; values without a shape are left out.
+    ``tips`` (keys, ``region_name``, ``interest_value``) gives the tooltip's value by name, where
+    that differs from the value that fills the shape.
     """
-    # A shape without a name or code binds to nothing, but is drawn all the same.
-    dims = shapes.select("region_code", "region_name").fillna("", subset=[on])
-    known = dims.select(on).distinct().withColumn("drawn", F.lit(True))
+    dims = shapes.select("region_code", "region_name")
     value = F.col("interest_value").cast("double").alias("interest_value")
-    bound = values.select(*keys, on, value).join(known, on, "left")
-    # One pass: a group holds one entry per shape at most, as values without shape are skipped.
-    entry = F.when(F.col("drawn"), F.struct(on, "interest_value"))
-    groups = bound.groupBy(*keys).agg(F.collect_list(entry).alias("filled"))
-    absent = F.array_except(_all_shapes(dims, on), F.col("filled")[on])
-    # Zipping pads the shorter array, so the shapes without a value get NULL.
-    rows = F.arrays_zip(F.concat(F.col("filled")[on], absent), F.col("filled")["interest_value"])
-    text = tooltip(F.col("region_name"), F.col("region_code"), F.col("interest_value"))
-    return (
-        groups.select(*keys, F.inline(rows).alias(on, "interest_value"))
-        .join(dims, on)
-        .select(*keys, "region_code", "region_name", "interest_value", text.alias("tooltip"))
+    table = dims.join(values.select(on, *keys, value), on, "left")
+    shown = F.col("interest_value")
+    if tips is not None:
+        tip = F.col("interest_value").cast("double").alias("tip")
+        named = tips.select(F.col("region_name").alias("tip_name"), *[F.col(k).alias(f"tip_{k}") for k in keys], tip)
+        match = F.col("region_name") == F.col("tip_name")
+        for k in keys:
+            match = match & F.col(k).eqNullSafe(F.col(f"tip_{k}"))
+        table, shown = table.join(named, match, "left"), F.col("tip")
+    # A shape without a name or code binds to nothing, but is drawn all the same.
+    name, code = F.coalesce("region_name", F.lit("")), F.coalesce("region_code", F.lit(""))
+    return table.select(
+        *keys, code.alias("region_code"), name.alias("region_name"), "interest_value",
+        tooltip(name, code, shown).alias("tooltip"),
     )
-
-
-def _all_shapes(dims: DataFrame, on: str) -> Column:
-    # The shapes of one map as an array: never longer than MAX_SHAPES, or the query fails.
-    few = dims.select(on).distinct().limit(MAX_SHAPES + 1)
-    names = F.collect_list(on)
-    too_many = F.raise_error(F.lit(f"more than {MAX_SHAPES} map shapes"))
-    return few.agg(F.when(F.size(names) <= MAX_SHAPES, names).otherwise(too_many)).scalar()

@@ -28,14 +28,24 @@ from civicpulse.operators.topk import top_n
 def series_statistics(series: DataFrame, keys: Sequence[str] = ("topic",)) -> DataFrame:
     """Unrounded statistics per topic: first and last date, mean, first peak, last value."""
     value, date = F.col("value"), F.col("date")
-    # Both orderings end in the value, so the pick is the same on every run.
-    return series.groupBy(*keys).agg(
-        F.min(date).alias("first_date"),
-        F.max(date).alias("last_date"),
-        mean_of(value).alias("average"),
-        F.max(value).cast("double").alias("peak"),
-        F.min_by(date, F.when(value.isNotNull(), F.struct(-value, date))).alias("peak_date"),
-        F.max_by(value, F.struct(date, value)).cast("double").alias("current"),
+    # Rows are reduced to one per value before they are shuffled; all buffers have a fixed width.
+    by_value = series.groupBy(*keys, value.alias("value")).agg(
+        F.min(date).alias("first"), F.max(date).alias("last"), F.count("*").alias("n")
+    )
+    # Of values that share their last date the largest counts.
+    weight = F.when(value.isNotNull(), F.col("n"))
+    by_last = by_value.groupBy(*keys, "last").agg(
+        F.min("first").alias("first"), F.max(value).alias("top"), F.max_by("first", value).alias("top_first"),
+        F.sum(value * weight).alias("total"), F.sum(weight).alias("n"),
+    )
+    mean = F.try_divide(F.sum("total").cast("double"), F.sum("n").cast("double"))
+    return by_last.groupBy(*keys).agg(
+        F.min("first").alias("first_date"),
+        F.max("last").alias("last_date"),
+        mean.alias("average"),
+        F.max("top").cast("double").alias("peak"),
+        F.max_by("top_first", "top").alias("peak_date"),
+        F.max_by("top", "last").cast("double").alias("current"),
     )
 
 
@@ -44,10 +54,10 @@ def series_summary(series: DataFrame, keys: Sequence[str] = ("topic",)) -> DataF
     return series_statistics(series, keys).select(
         *keys,
         round_to(F.col("average"), 2).alias("average_interest"),
-        F.col("peak").cast("long").alias("peak_interest"),
+        F.col("peak").try_cast("long").alias("peak_interest"),
         "peak_date",
         long_date(F.col("peak_date")).alias("peak_date_label"),
-        F.col("current").cast("long").alias("current_interest"),
+        F.col("current").try_cast("long").alias("current_interest"),
     )
 
 

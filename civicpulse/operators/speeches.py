@@ -16,8 +16,6 @@ SPEECH_SCHEMA = (
 )
 _COLUMNS = ["file_name", "ordinal", "attributes", "data", "error"]
 _ROWS_PER_BATCH = 5_000
-# As with pivot, a table with more attribute names than this is refused.
-MAX_ATTRIBUTES = 10_000
 
 
 def parse_speeches(documents: DataFrame) -> DataFrame:
@@ -34,33 +32,39 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows: list[tuple] = []
     for batch in batches:
         for name, content in zip(batch["file_name"], batch["content"]):
-            rows += _parse_document(name, content)
-            if len(rows) >= _ROWS_PER_BATCH:
-                yield pd.DataFrame(rows, columns=_COLUMNS)
-                rows = []
+            for row in _parse_document(name, content):
+                rows.append(row)
+                if len(rows) == _ROWS_PER_BATCH:
+                    yield pd.DataFrame(rows, columns=_COLUMNS)
+                    rows = []
     if rows:
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
-def _parse_document(name: str, content: bytes | None) -> list[tuple]:
+def _parse_document(name: str, content: bytes | None) -> Iterator[tuple]:
+    """The rows of a document as they are parsed; a first pass tells whether it is well formed."""
     if content is None:
-        return []
+        return
     try:
-        return [(name, *speech, None) for speech in iter_speeches(content)]
+        for _ in iter_speeches(content):
+            pass
     except ParseError as error:
-        return [(name, None, None, None, str(error))]
+        yield name, None, None, None, str(error)
+        return
+    for speech in iter_speeches(content):
+        yield name, *speech, None
 
 
-def promote_attributes(speeches: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """One column per attribute, NULL where a speech lacks it.
+def attribute_names(speeches: DataFrame) -> DataFrame:
+    """The attribute names that occur, as a table with the column ``key``."""
+    return speeches.select(F.explode(F.map_keys("attributes")).alias("key")).distinct()
 
-    Without ``keys`` the attribute names are found first, by one more pass over the table.
+
+def promote_attributes(speeches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One column per attribute listed, NULL where a speech lacks it.
+
+    ``attribute_names`` tells which there are.
     """
-    if keys is None:
-        found = speeches.select(F.explode(F.map_keys("attributes")).alias("key")).distinct()
-        keys = sorted(row["key"] for row in found.limit(MAX_ATTRIBUTES + 1).collect())
-        if len(keys) > MAX_ATTRIBUTES:
-            raise ValueError(f"more than {MAX_ATTRIBUTES} attribute names: list the ones wanted")
     others = [c for c in speeches.columns if c != "attributes"]
     clashes = sorted(set(keys) & set(others))
     if clashes:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from civicpulse.functions.fixed_values import SUMMARY_API_VERSION, SUMMARY_PREFIXES, SUMMARY_PROMPT
-from civicpulse.plans.queries import SELECTED_DAY, SELECTED_TOPIC
+from civicpulse.plans.queries import SELECTED_DAY, SELECTED_TOPIC, UNMAPPED_DAY, UNMAPPED_TOPIC
 from civicpulse.plans.standins import (
-    FEATURE_POINTS,
     MAP_CODES,
     RESPONSE_OPENINGS,
     UNREADABLE_FROM,
@@ -102,7 +101,7 @@ CENTROIDS = f"""
 points AS (
   SELECT vec_id, label, CASE WHEN i < vec_id % 17 + 8 THEN 0 ELSE 1 END AS polygon,
          embedding[2 * i + 1]::double AS lon, embedding[2 * i + 2]::double AS lat
-  FROM embeddings, range(0, {FEATURE_POINTS}) AS t(i)),
+  FROM (SELECT *, unnest(range(0, len(embedding) // 2)) AS i FROM embeddings)),
 rings AS (
   SELECT vec_id, label, polygon, count(*) AS n,
          avg(lat) FILTER (lon < {UNREADABLE_FROM}) AS lat,
@@ -144,14 +143,25 @@ region_sums AS (
 
 
 def _choropleth(values: str) -> str:
-    """All shapes of each (topic, date) of ``values(topic_name, date, region_name, v)``."""
+    """All shapes with their rows of ``values(topic_name, date, region_name, interest_value)``."""
     return f"""
 WITH {TREND_LONG}, {CODES}, {SHAPES}, {VALUES_MEAN}, {VALUES_SUM}, bound AS ({values})
 SELECT topic_name, date, region_code, region_name, interest_value,
        region_name || ' (' || region_code || ') — ' ||
        coalesce(printf('%.1f', interest_value), '') AS tooltip
-FROM (SELECT DISTINCT topic_name, date FROM bound) CROSS JOIN shapes
-LEFT JOIN bound USING (topic_name, date, region_name)"""
+FROM shapes LEFT JOIN bound USING (region_name)"""
+
+
+def _selected(topic: str, day: str) -> str:
+    """All shapes for a topic and day: the fill by code, the tooltip's value by name."""
+    return f"""
+SELECT region_code, region_name, fill.v AS interest_value, '{day}' AS day,
+       region_name || ' (' || region_code || ') — ' || coalesce(printf('%.1f', tip.v), '') AS tooltip
+FROM shapes
+LEFT JOIN (SELECT region_code, avg(interest_value::double) AS v FROM trend_long JOIN codes USING (region)
+           WHERE topic_name = '{topic}' AND date = date '{day}' GROUP BY region_code) fill USING (region_code)
+LEFT JOIN (SELECT region AS region_name, avg(interest_value::double) AS v FROM trend_long
+           WHERE topic_name = '{topic}' AND date = date '{day}' GROUP BY region) tip USING (region_name)"""
 
 
 def _lenient(value: str) -> str:
@@ -223,6 +233,21 @@ SELECT region_sums.*, region_code FROM region_sums JOIN codes USING (region)""",
     "choropleth_by_name": _choropleth(
         "SELECT topic_name, date, region AS region_name, interest_value FROM region_sums"
     ),
+    "choropleth_selected": f"""
+WITH {TREND_LONG}, {CODES}, {SHAPES}
+{_selected(SELECTED_TOPIC, SELECTED_DAY)} UNION ALL {_selected(UNMAPPED_TOPIC, UNMAPPED_DAY)}""",
+    "mapped_values": f"""
+WITH {TREND_LONG}, {CODES}, known AS (SELECT * FROM trend_long JOIN codes USING (region))
+SELECT 'mean' AS how, topic_name, date, region_code, sum(interest_value)::double / count(*) AS interest_value
+FROM known GROUP BY ALL
+UNION ALL
+SELECT 'sum', topic_name, date, region_code, sum(interest_value)::double FROM known GROUP BY ALL
+UNION ALL
+SELECT 'latest', topic_name, date, region_code, interest_value::double FROM known
+QUALIFY row_number() OVER (PARTITION BY topic_name, region_code ORDER BY date DESC, row_id DESC) = 1""",
+    "preview_topic": f"""
+WITH {TREND_LONG}
+SELECT * FROM trend_long WHERE topic_name = '{SELECTED_TOPIC}' ORDER BY region, row_id LIMIT 50""",
     "melt_measures": """
 UNPIVOT (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax FROM lineitem)
 ON l_quantity, l_discount, l_tax INTO NAME measure VALUE interest_value""",
@@ -347,8 +372,8 @@ FROM peaks JOIN means USING (topic_name, region)""",
     "top_posts": f"""
 WITH {POSTS},
 requests AS (
-  SELECT topic, unnest(generate_series(date '2024-01-15', date '2024-01-31', interval 1 day))::date AS day
-  FROM (SELECT DISTINCT topic FROM posts)),
+  SELECT topic, unnest(generate_series(min(day), max(day) + 1, interval 1 day))::date AS day
+  FROM posts GROUP BY topic),
 matched AS (
   SELECT r.topic, r.day, p.* EXCLUDE (topic, day), 'day' AS match_level
   FROM requests r JOIN posts p ON r.topic = p.topic AND r.day = p.day
@@ -386,6 +411,8 @@ QUALIFY row_number() OVER (
   ORDER BY CASE source WHEN 'src3' THEN 1 WHEN 'src1' THEN 2 ELSE 3 END, source, doc_id) = 1""",
     "html_text": f"SELECT page_id, url, {_visible('html')} AS content FROM pages",
     "summary_requests": f"""
+WITH documents AS (
+  SELECT * REPLACE (CASE WHEN doc_id % 10 = 3 THEN '   ' ELSE text END AS text) FROM documents)
 SELECT doc_id::varchar AS url,
        json_object('anthropic_version', '{SUMMARY_API_VERSION}', 'max_tokens', 200, 'messages',
                    [json_object('role', 'user', 'content',
@@ -423,12 +450,14 @@ SELECT date, topic_name, region, region AS region_name, interest_value::double A
 FROM trend_long""",
     "posts_file": f"""
 WITH {POSTS}
-SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M') AS created_at) FROM posts""",
+SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M') AS created_at,
+                  CASE WHEN replies % 7 > 2 THEN likes END AS likes)
+FROM posts WHERE replies % 11 <> 0""",
     "counts_file": f"WITH {SERIES} SELECT topic, date, value::double AS value FROM series",
     "boundaries_file": f"WITH {CENTROIDS} SELECT * FROM centroids",
     "articles_file": """
-SELECT source AS search_query, 0 AS pos, 'https://news.example/' || doc_id AS url, text AS title
-FROM documents""",
+SELECT source AS search_query, pos, 'https://news.example/' || doc_id || '/' || pos AS url, text AS title
+FROM (SELECT *, unnest(range(0, doc_id % 3)) AS pos FROM documents)""",
     "speeches_file": """
 SELECT 'turns' AS source, conv_id::varchar AS conv, turn::varchar AS turn, role, text AS data
 FROM conversations""",

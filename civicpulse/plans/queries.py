@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicpulse.functions import dates
+from civicpulse.functions.fixed_values import REFERENCE_EVENTS
 from civicpulse.operators import (
     frames,
     geo,
@@ -27,7 +28,7 @@ from civicpulse.operators import (
     topk,
 )
 from civicpulse.plans import reports, standins
-from civicpulse.session import prepare, scratch_path, spread
+from civicpulse.session import prepare, scratch_path
 from civicpulse.sources.articles import read_articles
 from civicpulse.sources.boundaries import read_boundaries, with_polygons
 from civicpulse.sources.posts import read_posts
@@ -39,9 +40,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # One event within the dates of the series, one after them.
-TIMELINE_EVENTS = [("Mid January", "2024-01-15"), ("UK General Election", "2024-07-04")]
+TIMELINE_EVENTS = [("Mid January", "2024-01-15"), *REFERENCE_EVENTS]
 # A topic and a day with rows at every scale but the smallest.
 SELECTED_TOPIC, SELECTED_DAY = "1-URGENT", "1997-07-10"
+# A topic and a day whose only rows (at scale 0.01) are in the region that is on no map.
+UNMAPPED_TOPIC, UNMAPPED_DAY = "2-HIGH", "1996-03-21"
 # Size of files that one task reads whole.
 ROWS_PER_FILE = 100_000
 
@@ -115,6 +118,37 @@ def choropleth_by_name(spark, sf_dir):
     return regions.choropleth_table(standins.map_shapes(spark, sf_dir), named, on="region_name")
 
 
+@query
+def choropleth_selected(spark, sf_dir):
+    """A day with regions on and off the map, and one with no region on it."""
+    trends, shapes = standins.trend_long(spark, sf_dir), standins.map_shapes(spark, sf_dir)
+    chosen = [(SELECTED_TOPIC, SELECTED_DAY), (UNMAPPED_TOPIC, UNMAPPED_DAY)]
+    mixed, unmapped = (
+        reports.selected_map(trends, shapes, standins.map_codes(spark), topic, day).withColumn("day", F.lit(day))
+        for topic, day in chosen
+    )
+    return mixed.unionByName(unmapped)
+
+
+@query
+def mapped_values(spark, sf_dir):
+    """Every second row names its region by the code."""
+    trends, codes = standins.trend_long(spark, sf_dir), standins.map_codes(spark)
+    code = F.element_at(F.create_map(*[F.lit(x) for pair in standins.MAP_CODES.items() for x in pair]), F.col("region"))
+    either = F.when(F.col("row_id") % 2 == 0, F.coalesce(code, F.col("region"))).otherwise(F.col("region"))
+    trends = trends.withColumn("region", either)
+    mean, total = (regions.mapped_values(trends, codes, how) for how in ("mean", "sum"))
+    latest = regions.mapped_values(trends, codes, "latest", keys=["topic_name"], tie="row_id")
+    named = [df.withColumn("how", F.lit(how)) for df, how in ((mean, "mean"), (total, "sum"), (latest, "latest"))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+@query
+def preview_topic(spark, sf_dir):
+    trends = standins.trend_long(spark, sf_dir)
+    return topk.preview(trends.filter(F.col("topic_name") == SELECTED_TOPIC), ["region", "row_id"])
+
+
 # Reshape and quality ---------------------------------------------------------------------------
 
 
@@ -161,12 +195,12 @@ def _untyped_trends(spark, sf_dir):
 
 @query
 def lenient_cast(spark, sf_dir):
-    return quality.normalise_trends(_untyped_trends(spark, sf_dir))
+    return quality.normalise_trends(quality.missing_cells(_untyped_trends(spark, sf_dir)))
 
 
 @query
 def lenient_cast_clamped(spark, sf_dir):
-    return quality.normalise_trends(_untyped_trends(spark, sf_dir), clamp=True)
+    return quality.normalise_trends(quality.missing_cells(_untyped_trends(spark, sf_dir)), clamp=True)
 
 
 @query
@@ -345,9 +379,10 @@ def top_queries(spark, sf_dir):
 @query
 def top_posts(spark, sf_dir):
     all_posts = standins.posts(spark, sf_dir)
-    # From the middle of the month to its 31st, a day without posts.
-    days = F.explode(F.expr("sequence(date'2024-01-15', date'2024-01-31')"))
-    requests = all_posts.select("topic").distinct().select("topic", days.alias("day"))
+    # Every day of a topic, and the one after, which has no posts.
+    span = all_posts.groupBy("topic").agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    days = F.explode(F.sequence("first", F.date_add("last", 1)))
+    requests = span.select("topic", days.alias("day"))
     return posts.top_posts(requests, all_posts).drop("created_at")
 
 
@@ -383,14 +418,16 @@ def dedupe_articles(spark, sf_dir):
 
 @query
 def html_text(spark, sf_dir):
-    return news.extract_text(spread(standins.table(spark, sf_dir, "pages"))).drop("error")
+    return news.extract_text(standins.table(spark, sf_dir, "pages")).drop("error")
 
 
 @query
 def summary_requests(spark, sf_dir):
     documents = standins.table(spark, sf_dir, "documents")
+    # One text in ten is blank.
+    content = F.when(F.col("doc_id") % 10 == 3, " \n ").otherwise(F.col("text"))
     return news.summary_requests(
-        documents.select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("content"))
+        documents.select(F.col("doc_id").cast("string").alias("url"), content.alias("content"))
     )
 
 
@@ -416,10 +453,8 @@ def news_digest(spark, sf_dir):
 
 @query
 def speech_rows(spark, sf_dir):
-    # Stored, as finding the attribute names would parse the documents once more.
-    path = scratch_path(spark, "speeches")
-    write_table(speeches.parse_speeches(standins.speech_documents(spark, sf_dir)), path)
-    return speeches.promote_attributes(spark.read.parquet(path)).drop("error")
+    parsed = speeches.parse_speeches(standins.speech_documents(spark, sf_dir))
+    return speeches.promote_attributes(parsed, ["conv", "line", "role", "turn"]).drop("error")
 
 
 # Files: tables are written below the shared folder and read back -------------------------------
@@ -455,8 +490,17 @@ def trend_long_file(spark, sf_dir):
 
 @query
 def posts_file(spark, sf_dir):
+    """Some cells of likes are no count, and some times are no time."""
+    number = F.col("replies")
+    likes = (
+        F.when(number % 7 == 0, "1e30").when(number % 7 == 1, "x").when(number % 7 == 2, "NaN")
+        .otherwise(F.col("likes").cast("string"))
+    )
+    time = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    created = F.when(number % 11 == 0, "soon").otherwise(time)
+    cells = standins.posts(spark, sf_dir).drop("day").withColumns({"likes": likes, "created_at": created})
     path = scratch_path(spark, "posts")
-    write_table(standins.posts(spark, sf_dir).drop("day"), path, "csv", rows_per_file=ROWS_PER_FILE)
+    write_table(cells, path, "csv", rows_per_file=ROWS_PER_FILE)
     return read_posts(spark, path).withColumn("created_at", dates.iso_minute(F.col("created_at")))
 
 
@@ -487,13 +531,14 @@ def boundaries_file(spark, sf_dir):
 
 @query
 def articles_file(spark, sf_dir):
-    """One response per document, in a folder per search query."""
+    """One response per document, with none, one or two articles, in a folder per search query."""
     documents = standins.table(spark, sf_dir, "documents")
-    article = F.struct(
-        F.concat(F.lit("https://news.example/"), "doc_id").alias("url"), F.col("text").alias("title")
-    )
+    numbers = F.slice(F.array(F.lit(0), F.lit(1)), F.lit(1), (F.col("doc_id") % 3).cast("int"))
+    found = F.transform(numbers, lambda i: F.struct(
+        F.concat(F.lit("https://news.example/"), F.col("doc_id"), F.lit("/"), i).alias("url"), F.col("text").alias("title")
+    ))
     path = scratch_path(spark, "articles")
-    responses = documents.select(F.col("source").alias("search_query"), F.array(article).alias("articles"))
+    responses = documents.select(F.col("source").alias("search_query"), found.alias("articles"))
     responses.write.partitionBy("search_query").json(path)
     return read_articles(spark, path, multi_line=False).select("search_query", "pos", "url", "title")
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civicpulse.functions.fixed_values import NO_DATA
 from civicpulse.functions.labels import geography_label
 from civicpulse.operators.news import attach_summaries, dedupe_articles, extract_text
-from civicpulse.operators.regions import choropleth_table, region_map_values, region_values
+from civicpulse.operators.regions import choropleth_table, mapped_values, region_values, select_trends
 from civicpulse.operators.series import series_summary, trend_direction
 from civicpulse.operators.topk import keep_first, top_queries, top_regions
 
@@ -36,10 +37,7 @@ def topic_report(
         _ranked_list("query", "value", kind="top").alias("top_queries"),
         _ranked_list("query", "value", kind="rising").alias("rising_queries"),
     )
-    message = F.concat(
-        F.lit('No data found for "'), F.col("topic"),
-        F.lit('". Try a different search term or timeframe.'),
-    )
+    message = F.concat(F.lit(NO_DATA[0]), F.col("topic"), F.lit(NO_DATA[1]))
     return (
         report.join(regions, "topic", "left")
         .join(queries, "topic", "left")
@@ -56,18 +54,32 @@ def _ranked_list(*columns: str, kind: str | None = None) -> Column:
 def region_map(
     trends: DataFrame, shapes: DataFrame, codes: DataFrame, how: str = "mean"
 ) -> DataFrame:
-    """Every map shape with the value of its region, per topic and day."""
-    values = region_map_values(region_values(trends, how), codes)
-    return choropleth_table(shapes, values)
+    """Each map shape with the values of its region, a row per topic and day that has one."""
+    return choropleth_table(shapes, mapped_values(trends, codes, how))
+
+
+def selected_map(
+    trends: DataFrame, shapes: DataFrame, codes: DataFrame, topic: str, day: str, how: str = "mean"
+) -> DataFrame:
+    """Every map shape for one topic and day, filled by code, with the tooltip's value by name.
+
+    A shape stays blank where its region has no row, also when all regions are unknown. Whether
+    the selection has rows at all is for ``coverage`` to tell.
+    """
+    chosen = select_trends(trends, topic, day)
+    named = region_values(chosen, how, keys=()).withColumnRenamed("region", "region_name")
+    return choropleth_table(shapes, mapped_values(chosen, codes, how, keys=()), keys=(), tips=named)
 
 
 def article_text(articles: DataFrame, pages: DataFrame, queries: list[str] | None = None) -> DataFrame:
     """(url, headline, content, error) of each distinct article, from the pages fetched.
 
-    Of several pages of one URL the one that sorts first counts.
+    Of several pages of one URL the one with the smallest hash counts.
     """
     unique = dedupe_articles(articles, queries or ())
-    once = keep_first(pages.select("url", "html"), ["url"], [F.col("html")])
+    # Pages that no article asks for go before any page is sorted; a hash decides before the text.
+    wanted = pages.select("url", "html").join(unique.select("url"), "url", "left_semi")
+    once = keep_first(wanted, ["url"], [F.xxhash64("html"), F.col("html")])
     found = unique.select("url", F.col("title").alias("headline")).join(once, "url", "left")
     return extract_text(found)
 

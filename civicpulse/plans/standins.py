@@ -16,8 +16,7 @@ from civicpulse.operators.regions import region_code_table
 MAP_CODES = {"AFRICA": "R0", "AMERICA": "R1", "ASIA": "R2", "EUROPE": "R3"}
 # What a response starts with, by conversation turn: a phrase to remove, or nothing.
 RESPONSE_OPENINGS = [*SUMMARY_PREFIXES, ""]
-# Points per boundary feature, and the longitude from which a point counts as unreadable.
-FEATURE_POINTS = 32
+# The longitude from which a point of a boundary feature counts as unreadable.
 UNREADABLE_FROM = 0.25
 
 
@@ -156,10 +155,11 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         lon, lat = vector[2 * i].cast("double"), vector[2 * i + 1].cast("double")
         return F.when(lon < UNREADABLE_FROM, F.array(lon, lat))
 
-    points = F.transform(F.sequence(F.lit(0), F.lit(FEATURE_POINTS - 1)), point)
+    number = F.floor(F.size(vector) / 2).cast("int")
+    points = F.transform(F.sequence(F.lit(0), number - 1), point)
     cut = (F.col("vec_id") % 17 + 8).cast("int")
     first = F.slice("points", 1, cut)
-    second = F.slice("points", cut + 1, FEATURE_POINTS)
+    second = F.slice("points", cut + 1, F.size("points"))
     multi = F.col("vec_id") % 2 == 0
     label = F.col("label").cast("string")
     return table(spark, sf_dir, "embeddings").withColumn("points", points).select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 import tempfile
 import uuid
@@ -51,6 +52,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "civicp
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
+        .config("spark.checkpoint.dir", os.environ.get("SPARK_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="civicpulse-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -61,9 +63,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder named in ``spark.checkpoint.dir``."""
     shared = spark.conf.get("spark.checkpoint.dir", "")
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="civicpulse-")
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return f"{shared.rstrip('/')}/civicpulse/{name}-{uuid.uuid4().hex}"
 
 
@@ -78,12 +78,3 @@ def literal_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> D
     return spark.createDataFrame(
         pa.table({n: pa.array(c, type=types) for n, c in zip(names, columns)})
     )
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute the rows of a table stored in fewer files than there are cores.
-
-    For work that is heavy per row. A table of many files is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -28,7 +28,7 @@ def read_posts(spark: SparkSession, path: str | list[str], multi_line: bool = Tr
         .csv(path)
     )
     created = parse_utc(F.col("created_at"))
-    counts = {c: to_number(F.col(c)).cast("long") for c in ("likes", "reposts", "replies")}
+    counts = {c: to_number(F.col(c)).try_cast("long") for c in ("likes", "reposts", "replies")}
     return (
         require_columns(raw, POST_COLUMNS)
         .withColumns({"created_at": created, **counts})

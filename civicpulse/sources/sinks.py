@@ -21,7 +21,9 @@ def write_table(
     """
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"format must be parquet or csv, not {fmt!r}")
-    writer = df.write.mode(mode).partitionBy(*partition_by)
+    # Rows of a partition value meet in few tasks, large values in several, so files stay few.
+    gathered = df.hint("rebalance", *partition_by) if partition_by else df
+    writer = gathered.write.mode(mode).partitionBy(*partition_by)
     writer = writer.option("maxRecordsPerFile", rows_per_file)
     if fmt == "csv":
         writer.option("header", True).option("escape", '"').csv(path)

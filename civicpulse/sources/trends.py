@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from civicpulse.functions.fixed_values import REGION_COLUMNS
 from civicpulse.functions.numbers import to_number
-from civicpulse.operators.quality import lenient_cast, normalise_trends, require_columns
+from civicpulse.operators.quality import lenient_cast, missing_cells, normalise_trends, require_columns
 from civicpulse.operators.reshape import melt_regions, topic_series
 from civicpulse.session import literal_table
 from civicpulse.sources.files import file_name, file_names
@@ -65,7 +65,7 @@ def merge_trend_dir(
 
 def read_trend_long(spark: SparkSession, path: Paths, clamp: bool = False) -> DataFrame:
     """Long trend files under either set of column names, cast and cleaned."""
-    return normalise_trends(_csv(spark).csv(path), clamp=clamp)
+    return normalise_trends(missing_cells(_csv(spark).csv(path)), clamp=clamp)
 
 
 def read_counts(spark: SparkSession, path: Paths) -> DataFrame:

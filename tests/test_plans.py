@@ -14,7 +14,7 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.endswith("_file") and n != "table_sink"))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_and_no_unkeyed_window(spark, name):
     plan = plan_of(QUERIES[name](spark, SF_DIR))
     assert "CartesianProduct" not in plan
@@ -47,8 +47,31 @@ def test_only_needed_columns_are_read(spark):
     assert "o_orderstatus" not in scans and "c_name" not in scans and "c_acctbal" not in scans
 
 
-def test_latest_needs_no_sort(spark):
-    assert "SortAggregate" not in plan_of(QUERIES["region_values_latest"](spark, SF_DIR))
+@pytest.mark.parametrize("name", [
+    "region_values_latest", "series_summary", "series_summary_by_region", "annotate_events", "timeline", "mapped_values",
+])
+def test_aggregates_need_no_sort(spark, name):
+    assert "SortAggregate" not in plan_of(QUERIES[name](spark, SF_DIR))
+
+
+@pytest.mark.parametrize("name", ["choropleth", "choropleth_by_name", "choropleth_selected"])
+def test_maps_are_joins_from_the_shapes(spark, name):
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
+    assert not any(word in plan for word in ("Limit", "scalar", "collect_list", "Generate"))
+    assert "LeftOuter" in plan or "RightOuter" in plan
+
+
+def test_a_map_grows_with_its_values_not_with_their_product(spark):
+    trends, shapes = standins.trend_long(spark, SF_DIR), standins.map_shapes(spark, SF_DIR)
+    values = regions.mapped_values(trends, standins.map_codes(spark))
+    drawn = reports.region_map(trends, shapes, standins.map_codes(spark))
+    assert drawn.count() <= values.count() + shapes.count()
+
+
+def test_pages_are_pruned_before_they_are_sorted(spark):
+    pages = standins.table(spark, SF_DIR, "pages")
+    plan = plan_of(reports.article_text(standins.page_articles(spark, SF_DIR), pages))
+    assert "LeftSemi" in plan and plan.index("Window") < plan.index("LeftSemi")
 
 
 def test_timeline_reads_its_series_once(spark):

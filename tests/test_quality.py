@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from civicpulse.functions.numbers import clamp, round_one, round_to, to_number
 from civicpulse.operators.quality import (
+    missing_cells,
     apply_aliases,
     lenient_cast,
     normalise_trends,
@@ -42,12 +43,17 @@ def test_unreadable_cells_drop_the_row(rows):
         ("2025-01-01", "HS2", "Wales", "Wales", "x"),
         ("2025-01-01", "HS2", "Wales", "Wales", "NaN"),
         ("2025-01-01", "HS2", None, "Wales", "1"),
-        ("2025-01-01", "NA", "Wales", "Wales", "1"),
         (None, "HS2", "Wales", "Wales", "1"),
     ]
     assert len(rows.get(lenient_cast(rows.make(LONG, good, *bad)))) == 1
 
 
+def test_missing_markers_count_in_cells_of_files_only(rows):
+    named = rows.make(LONG, ("2025-01-01", "NA", "None", "null", "1"))
+    assert rows.get(lenient_cast(named), "topic_name", "region", "region_name") == [("NA", "None", "null")]
+    assert rows.get(lenient_cast(missing_cells(named))) == []
+
+
 def test_typed_columns_are_taken_as_they_are(rows):
     typed = rows.make("date date, topic_name string, region string, region_name string, interest_value double",
                       (dt.date(2025, 1, 1), "HS2", "Wales", "Wales", 1e10),

@@ -2,17 +2,18 @@ import datetime as dt
 
 import pytest
 
-from civicpulse.operators import regions
 from civicpulse.operators.frames import heat_frames, heat_points, sparkline_series
 from civicpulse.operators.profile import coverage, date_catalog, profile_trends, topic_catalog
 from civicpulse.operators.regions import (
     choropleth_table,
+    mapped_values,
     region_code_table,
     region_lookup,
     region_map_values,
     region_values,
     select_trends,
 )
+from civicpulse.plans.reports import selected_map
 
 D1, D2 = dt.date(2025, 1, 1), dt.date(2025, 1, 8)
 TRENDS = "topic_name string, date date, region string, interest_value double, row_id long"
@@ -57,34 +58,54 @@ def test_codes_of_names_and_of_codes(spark, rows):
     assert region_map_values(values, codes).count() == 2
 
 
-def test_every_shape_for_every_selection(spark, rows, trends):
-    shapes = rows.make("region_code string, region_name string",
-                       ("E92000001", "England"), ("W92000004", "Wales"), ("S92000003", "Scotland"))
-    values = region_lookup(region_values(trends), region_code_table(spark))
-    table = rows.get(choropleth_table(shapes, values), "topic_name", "date", "region_name", "tooltip")
-    assert [r[3] for r in table if r[:2] == ("HS2", D1)] == [
-        "England (E92000001) — 7.0", "Scotland (S92000003) — ", "Wales (W92000004) — 2.0"
+SHAPES = "region_code string, region_name string"
+UK = [("E92000001", "England"), ("W92000004", "Wales"), ("S92000003", "Scotland")]
+
+
+def test_shapes_with_their_values(spark, rows, trends):
+    values = region_map_values(region_values(trends), region_code_table(spark))
+    table = rows.get(choropleth_table(rows.make(SHAPES, *UK), values), "topic_name", "date", "region_name", "tooltip")
+    assert table == [
+        ("HS2", D1, "England", "England (E92000001) — 7.0"), ("HS2", D1, "Wales", "Wales (W92000004) — 2.0"),
+        ("HS2", D2, "England", "England (E92000001) — 5.5"), (None, None, "Scotland", "Scotland (S92000003) — "),
+    ]
+
+
+@pytest.mark.parametrize("topic, day, filled", [("HS2", "2025-01-01", [7.0, None, 2.0]), ("S", "2025-01-08", [None] * 3)])
+def test_a_selection_has_every_shape(spark, rows, trends, topic, day, filled):
+    drawn = selected_map(trends, rows.make(SHAPES, *UK), region_code_table(spark), topic, day)
+    assert [r[0] for r in rows.get(drawn.orderBy("region_name"), "interest_value")] == sorted(filled, key=repr)
+    assert [r.interest_value for r in drawn.orderBy("region_name").collect()] == filled
+
+
+def test_fill_by_code_and_tooltip_by_name(spark, rows):
+    trends = rows.make(TRENDS, ("t", D1, "E92000001", 1.0, 1), ("t", D1, "England", 3.0, 2), ("t", D1, "Narnia", 9.0, 3))
+    shapes = rows.make(SHAPES, ("E92000001", "England"), ("N", "Narnia"))
+    drawn = selected_map(trends, shapes, region_code_table(spark), "t", "2025-01-01")
+    assert rows.get(drawn, "region_name", "interest_value", "tooltip") == [
+        ("England", 2.0, "England (E92000001) — 3.0"), ("Narnia", None, "Narnia (N) — 9.0")
     ]
-    # A selection without any drawable region still shows the empty map.
-    assert len([r for r in table if r[0] == "S"]) == 3
-    assert len(table) == 9
 
 
 def test_nameless_shapes_are_drawn_too(spark, rows, trends):
-    shapes = rows.make("region_code string, region_name string",
-                       ("E92000001", "England"), ("X1", None), (None, None))
+    shapes = rows.make(SHAPES, ("E92000001", "England"), ("X1", None), (None, None))
     values = region_values(select_trends(trends, "HS2", "2025-01-01")).withColumnRenamed("region", "region_name")
-    assert rows.get(choropleth_table(shapes, values, on="region_name"), "tooltip", "interest_value") == [
+    assert rows.get(choropleth_table(shapes, values, on="region_name", keys=()), "tooltip", "interest_value") == [
         (" () — ", None), (" (X1) — ", None), ("England (E92000001) — 7.0", 7.0)
     ]
 
 
-def test_a_map_with_too_many_shapes_is_refused(rows, trends, monkeypatch):
-    monkeypatch.setattr(regions, "MAX_SHAPES", 1)
-    shapes = rows.make("region_code string, region_name string", ("E", "England"), ("W", "Wales"))
-    values = region_values(trends).withColumnRenamed("region", "region_name")
-    with pytest.raises(Exception, match="more than 1 map shapes"):
-        choropleth_table(shapes, values, on="region_name").collect()
+def test_one_row_per_code_however_it_is_named(spark, rows):
+    trends = rows.make(TRENDS, ("t", D1, "England", 1.0, 1), ("t", D1, "E92000001", 3.0, 2), ("t", D1, "E92000001", 5.0, 3),
+                       ("t", D2, "England", 4.0, 4), ("t", D2, "E92000001", 2.0, 5), ("t", D2, "Narnia", 9.0, 6))
+    codes = region_code_table(spark)
+    assert rows.get(mapped_values(trends, codes, "mean"), "date", "interest_value") == [(D1, 3.0), (D2, 3.0)]
+    assert rows.get(mapped_values(trends, codes, "sum"), "date", "interest_value") == [(D1, 9.0), (D2, 6.0)]
+    latest = mapped_values(trends, codes, "latest", keys=["topic_name"], tie="row_id")
+    assert rows.get(latest, "region_code", "date", "interest_value") == [("E92000001", D2, 2.0)]
+    assert rows.get(mapped_values(trends, codes, "latest"), "date", "interest_value") == [(D1, 5.0), (D2, 4.0)]
+    with pytest.raises(ValueError):
+        mapped_values(trends, codes, "median")
 
 
 CENTROIDS = [("E92000001", 52.0, -1.0), ("W92000004", 52.3, -3.7), ("S92000003", 56.8, -4.2)]

@@ -1,10 +1,17 @@
 import datetime as dt
 import json
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 
 from civicpulse.operators.regions import select_trends
-from civicpulse.operators.speeches import parse_speeches, promote_attributes
+from civicpulse.operators.speeches import (
+    _parse_batches,
+    attribute_names,
+    parse_speeches,
+    promote_attributes,
+)
 from civicpulse.session import scratch_path
 from civicpulse.sources.articles import read_articles
 from civicpulse.sources.posts import read_posts
@@ -140,7 +147,8 @@ def test_speech_files(spark, rows, tmp_path):
         ("debate one.xml", 2, "Inner"), ("debate one.xml", 3, None),
     ]
     assert rows.get(table.filter("error is not null"), "file_name", "data") == [("broken.xml", None)]
-    wide = promote_attributes(good)
+    names = [r.key for r in attribute_names(good).orderBy("key").collect()]
+    wide = promote_attributes(good, names)
     assert wide.columns == ["file_name", "ordinal", "data", "error", "id", "latest", "scraperversion", "time"]
     assert rows.get(wide, "id", "latest", "scraperversion", "time") == [
         ("s1", "no", "a", None), ("s2", "yes", "a", None), ("s3", "yes", "a", None), ("s4", "yes", "a", "10:00")
@@ -153,7 +161,7 @@ def test_a_speech_at_the_root_and_an_attribute_named_like_a_column(spark, rows):
     table = parse_speeches(documents)
     assert rows.get(table, "file_name", "data") == [("f", "Root"), ("g", "x")]
     with pytest.raises(ValueError, match="error"):
-        promote_attributes(table)
+        promote_attributes(table, ["error", "id"])
     assert "id" in promote_attributes(table, ["id"]).columns
 
 
@@ -177,8 +185,33 @@ def test_a_topic_is_read_from_its_own_folder(spark, rows, tmp_path):
     assert selected.count() == 1
 
 
+def test_a_long_document_comes_in_batches():
+    speech = "<speech id='s'><p>x</p></speech>"
+    document = pd.DataFrame({"file_name": ["f"], "content": [f"<d>{speech * 100_000}</d>".encode()]})
+    sizes = [len(batch) for batch in _parse_batches(iter([document]))]
+    assert sum(sizes) == 100_000 and len(sizes) == 20
+
+
+def test_a_partitioned_table_has_few_files(spark, tmp_path):
+    rows = spark.range(0, 10_000, 1, 32).selectExpr("id % 5 AS topic_name", "id AS value")
+    write_table(rows, str(tmp_path / "t"), partition_by=["topic_name"])
+    written = spark.read.parquet(str(tmp_path / "t"))
+    assert len(written.inputFiles()) <= 10 and written.count() == 10_000
+
+
+def test_posts_with_cells_that_are_no_numbers(spark, tmp_path):
+    (tmp_path / "posts.csv").write_text(
+        "topic,created_at,month,author,text,likes,reposts,replies\n"
+        "t,2025-01-01T10:00:00Z,January 2025,a,x,1e30,NaN,3\n"
+        "t,soon,January 2025,a,x,1,1,1\n"
+    )
+    found = read_posts(spark, str(tmp_path / "posts.csv")).select("likes", "reposts", "replies").collect()
+    assert [tuple(r) for r in found] == [(None, None, 3)]
+
+
 def test_scratch_paths_are_fresh_and_shared(spark):
     one, two = scratch_path(spark, "x"), scratch_path(spark, "x")
-    assert one != two
-    shared = spark.conf.get("spark.checkpoint.dir", "")
-    assert not shared or one.startswith(shared)
+    assert one != two and one.startswith(spark.conf.get("spark.checkpoint.dir"))
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default))
+    with pytest.raises(ValueError):
+        scratch_path(unset, "x")
