@@ -130,7 +130,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def _power(base: int, n: int) -> np.ndarray:
     """base to the powers 0 .. n - 1, modulo 2^64."""
-    if len(_powers.get(base, ())) < n:
+    if base not in _powers or len(_powers[base]) < n:
         steps = np.full(max(n, 1 << 16), base, np.uint64)
         steps[0] = 1
         _powers[base] = np.cumprod(steps)

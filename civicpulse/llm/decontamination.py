@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from civicpulse.llm.common import Texts, Words, chunks, folded, keyed_rows, mixed, signed, text_array
 
-#: Fixed masks: 1 compares a token, 0 ignores it. Ten tokens of the span of twelve ... fourteen.
+#: Fixed masks: 1 compares a token, 0 ignores it. Nine tokens of a span of twelve to fourteen.
 MASKS = ("110110111011", "1110100110111", "11001101011101")
 #: Items of fewer words say too little to be looked for.
 LEAST_WORDS = 5

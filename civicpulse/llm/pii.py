@@ -29,6 +29,8 @@ TOKEN = r"(?<!\S)(?=[^\s0-9]*+[0-9])\S++"
 _BEFORE = r"""^[("'<\[{]+"""
 _AFTER = r"""[)"'>\]},.;:!?]+$"""
 
+#: Digits of a word from which it can be an identifier; one with fewer only speaks against a pattern.
+LEAST_DIGITS = 4
 #: Distinct values of a kind that a context needs before it is a pattern.
 SUPPORT = 3
 #: Confidence from which a pattern speaks for its instances, and finds identifiers in the end.
@@ -95,6 +97,10 @@ def luhn(digits: Column) -> Column:
 _TOO_LARGE = r"(?:^|\.)0*+(?:25[6-9]|2[6-9][0-9]|[3-9][0-9]{2}|[1-9][0-9]{3,}+)(?:\.|$)"
 
 
+def _digits(value: Column) -> Column:
+    return F.length(F.regexp_replace(value, "[^0-9]", ""))
+
+
 def _holds(kind: str, value: Column) -> Column:
     """Whether a match of a kind's expression counts."""
     digits = F.regexp_replace(value, "[^0-9]", "")
@@ -203,7 +209,8 @@ def found_by_context(found: DataFrame) -> DataFrame:
     sure = _scored(edges).where(F.col("confidence") >= FINDS).withColumnRenamed("kind", "of")
     best = F.max_by(F.col("of"), F.struct(F.col("confidence"), -F.col("of"))).alias("kind")
     return (
-        mentions.where(F.col("kind") == len(KINDS)).drop("kind").join(sure, "pattern")
+        mentions.where(F.col("kind") == len(KINDS)).drop("kind").where(_digits(F.col("value")) >= LEAST_DIGITS)
+        .join(sure, "pattern")
         .groupBy("doc_id", "key", "start", "end").agg(best)
     )
 
