@@ -329,3 +329,18 @@ def one_of_each(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     named = docs.withColumns({key: F.xxhash64(F.coalesce("text", F.lit(""))), number: F.col("doc_id").cast("long")})
     kept = named.join(first, named[number].eqNullSafe(first["_first_id"]) & (named[key] == first["_first_key"]), "left_semi")
     return kept.dropDuplicates([number, key]).select(*docs.columns)
+
+
+#: ``doc_id``, ``class_id`` and ``n_links`` for DuckDB, over the view ``documents``: all pairs that share a shingle.
+CLASSES_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+  shingles AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(words[pos:pos + 4], ' '), least(len(words), 5)) AS s
+    FROM (SELECT *, unnest(range(1, greatest(len(words) - 3, least(len(words), 1) + 1))) AS pos FROM w)),
+  sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+  shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+  links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 5 * shared.n >= 4 * (x.n + y.n - shared.n)),
+  reached(doc_id, other) AS (SELECT a, b FROM links UNION SELECT doc_id, b FROM reached JOIN links ON other = a),
+  counts AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a),
+  lowest AS (SELECT doc_id, min(other) AS low FROM reached GROUP BY doc_id)
+SELECT doc_id, least(doc_id, coalesce(low, doc_id)) AS class_id, coalesce(n, 0) AS n_links
+FROM documents LEFT JOIN counts USING (doc_id) LEFT JOIN lowest USING (doc_id)"""

@@ -70,4 +70,9 @@ QUERIES = {
 }
 
 #: Queries that DuckDB can express.
-ORACLES: dict[str, str] = {"op1_url_filter": urls.judge_sql(), "op7_sharding": sharding.place_sql(SHARDS)}
+ORACLES: dict[str, str] = {
+    "op1_url_filter": urls.judge_sql(),
+    "op3_repeated_passages": repeats.REPEATS_SQL,
+    "op7_sharding": sharding.place_sql(SHARDS),
+    "op9_jaccard_join": jaccard.CLASSES_SQL,
+}

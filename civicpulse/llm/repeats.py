@@ -261,3 +261,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     suffixes = by_part.cogroup(frequent.groupBy("part")).applyInArrow(_part_suffixes(buckets), SUFFIXES)
     repeats = in_buckets(suffixes).mapInArrow(_subtrees, REPEATS)
     return by_part.cogroup(repeats.groupBy("part")).applyInArrow(_without, RESULT)
+
+
+#: The same for DuckDB, over the view ``documents``: every window written out and counted.
+REPEATS_SQL = rf"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+  windows AS (SELECT doc_id, pos, array_to_string(words[pos:pos + {WINDOW - 1}], ' ') AS s FROM (SELECT *, unnest(range(1, len(words) - {WINDOW - 2})) AS pos FROM w)),
+  repeated AS (SELECT doc_id, pos FROM windows QUALIFY count(*) OVER (PARTITION BY s) > 1),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + {WINDOW})) AS pos FROM repeated),
+  left_over AS (SELECT doc_id, pos, words[pos] AS word FROM (SELECT *, unnest(range(1, len(words) + 1)) AS pos FROM w) ANTI JOIN gone USING (doc_id, pos)),
+  kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM left_over GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
