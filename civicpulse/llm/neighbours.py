@@ -20,7 +20,7 @@ CONFIDENCE = 0.98
 #: Rows that the tree over the whole table is fitted on at most, those with the smallest hashes.
 SAMPLE_ROWS = 20_000
 #: Vectors that one task searches at a time; a larger leaf of the tree is searched in parts.
-LEAF_ROWS = 20_000
+LEAF_ROWS = 4_000
 #: Leaves that the sample allows at most, as each needs sampled rows to be cut by.
 MOST_LEAVES = 512
 #: Queries that meet a part at a time.
@@ -225,7 +225,8 @@ def _asked(queries: DataFrame, points: DataFrame, parts: DataFrame, width: int,
     n = F.col("parts")
     # Vectors of a leaf are dealt to its parts; a part is repeated for each block of its queries.
     blocks = queries.groupBy("leaf").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("blocks"))
-    sizes = parts.join(blocks, "leaf")
+    # A row per leaf, at most MOST_LEAVES: broadcast, so that no leaf is gathered.
+    sizes = F.broadcast(parts.join(blocks, "leaf"))
     name = lambda part, block: F.xxhash64("leaf", part, block).alias("part")
     vectors = points.join(sizes, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).select(
         name(F.pmod(F.xxhash64("vec_id"), n.cast("long")).cast("int"), F.col("block")),
@@ -266,7 +267,7 @@ def search(vectors: DataFrame, is_query, k: int = NEAREST) -> DataFrame:
     total = known.count()
     sample = known.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").toArrow()
     sample = _rows(sample["embedding"].combine_chunks(), width) @ projection(width)
-    leaves = min(MOST_LEAVES, max(1, 2 * total // LEAF_ROWS))
+    leaves = min(MOST_LEAVES, max(1, 2 * total // LEAF_ROWS), max(1, len(sample) // 8))
     tree = Tree(sample, max(1, -(-len(sample) // leaves)))
     tree.leaf = np.zeros(0, np.int64)
     points = known.mapInArrow(_placed(tree, width), "vec_id long, embedding array<double>, leaf long").checkpoint()
