@@ -219,7 +219,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
                 ["doc_id", "y", *FEATURES],
             )
 
-    found = text_rows(docs).join(picked, "doc_id").mapInArrow(numbers, f"doc_id long, y int, {_FEATURE_FIELDS}")
+    # At most ``rows`` rows of two numbers, so the texts stay where they are.
+    found = text_rows(docs).join(F.broadcast(picked), "doc_id").mapInArrow(numbers, f"doc_id long, y int, {_FEATURE_FIELDS}")
     got = found.toArrow()
     x = np.column_stack([np.asarray(got[n]) for n in FEATURES]) if got.num_rows else np.zeros((0, len(FEATURES)))
     y = np.asarray(got["y"]).astype(float)
