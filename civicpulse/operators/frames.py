@@ -65,7 +65,11 @@ def heat_points(trends: DataFrame, centroids: DataFrame, codes: DataFrame) -> Da
 
 
 def heat_frames(points: DataFrame) -> DataFrame:
-    """One row per topic and week: its label and its points in region order."""
+    """One row per topic and week: its label and its points in region order.
+
+    A frame's array has a point per region with a centroid at most, so it grows with the table of
+    centroids, not with the trends.
+    """
     point = F.struct("region_code", "lat", "lon", "weight")
     return points.groupBy("topic_name", "week", "label").agg(
         F.sort_array(F.collect_list(point)).alias("points")

@@ -17,6 +17,13 @@ def monthly_rollup(counts: DataFrame) -> DataFrame:
     )
 
 
+def only_listed(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
+    """The same rows; one with a value that is not listed fails the query, as a pivot would lose it."""
+    value = F.col(column)
+    unlisted = F.raise_error(F.concat(F.lit(f"{column} is not listed: "), value))
+    return df.withColumn(column, F.when(value.isNull() | value.isin(list(values)), value).otherwise(unlisted))
+
+
 def monthly_wide(rollup: DataFrame, topics: Sequence[str]) -> DataFrame:
-    """One row per month and one column per listed topic."""
-    return rollup.groupBy("month").pivot("topic", list(topics)).agg(F.sum("total"))
+    """One row per month and one column per listed topic; a topic that is not listed is an error."""
+    return only_listed(rollup, "topic", topics).groupBy("month").pivot("topic", list(topics)).agg(F.sum("total"))

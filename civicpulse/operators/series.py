@@ -105,14 +105,8 @@ def timeline_table(
 
     Each row carries the average of its topic, the height of the reference line.
     """
-    # Dropped by the join below in any case; done here, both uses of the series read the same.
-    series = series.filter(F.col("topic").isNotNull())
-    statistics = series_statistics(series)
+    statistics = series_statistics(series.filter(F.col("topic").isNotNull()))
     none = F.lit(None)
-    points = series.join(statistics.select("topic", "average"), "topic").select(
-        "topic", F.lit("interest").alias("kind"), "date", F.col("value").cast("double"),
-        none.cast("string").alias("label"), "average",
-    )
     # Peak and events come from one row per topic.
     peak = F.struct(
         F.lit("peak").alias("kind"), F.col("peak_date").alias("date"),
@@ -125,10 +119,14 @@ def timeline_table(
             none.cast("double").alias("value"), e["label"].alias("label"),
         ),
     )
-    marks = statistics.select(
-        "topic", "average", F.inline(F.concat(F.array(peak), marked))
-    ).filter(F.col("date").isNotNull())
-    return points.unionByName(marks)
+    marks = statistics.select("topic", "average", F.inline(F.concat(F.array(peak), marked)))
+    # The average is read off the marks too, so both uses share one pass for the statistics.
+    averages = marks.filter(F.col("kind") == "peak").select("topic", "average")
+    points = series.join(averages, "topic").select(
+        "topic", F.lit("interest").alias("kind"), "date", F.col("value").cast("double"),
+        none.cast("string").alias("label"), "average",
+    )
+    return points.unionByName(marks.filter(F.col("date").isNotNull()))
 
 
 def weekly_series(

@@ -99,13 +99,13 @@ posts AS (
 
 CENTROIDS = f"""
 points AS (
-  SELECT vec_id, label, CASE WHEN i < vec_id % 17 + 8 THEN 0 ELSE 1 END AS polygon,
+  SELECT vec_id, label, (vec_id % 5, i) IN ((1, 3), (2, 5), (3, 6)) AS odd, CASE WHEN i < vec_id % 17 + 8 THEN 0 ELSE 1 END AS polygon,
          embedding[2 * i + 1]::double AS lon, embedding[2 * i + 2]::double AS lat
   FROM (SELECT *, unnest(range(0, len(embedding) // 2)) AS i FROM embeddings)),
 rings AS (
   SELECT vec_id, label, polygon, count(*) AS n,
-         avg(lat) FILTER (lon < {UNREADABLE_FROM}) AS lat,
-         avg(lon) FILTER (lon < {UNREADABLE_FROM}) AS lon
+         avg(lat) FILTER (lon < {UNREADABLE_FROM} AND NOT odd) AS lat,
+         avg(lon) FILTER (lon < {UNREADABLE_FROM} AND NOT odd) AS lon
   FROM points WHERE vec_id % 2 = 0 OR polygon = 0 GROUP BY ALL),
 outer_rings AS (
   SELECT * FROM rings WHERE lat IS NOT NULL

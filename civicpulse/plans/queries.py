@@ -470,7 +470,7 @@ def trend_dir_file(spark, sf_dir):
     names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
     topics, paths = {}, []
     for topic, trends in by_topic.items():
-        wide = trends.groupBy("date").pivot("region", names).agg(F.sum("interest_value"))
+        wide = rollup.only_listed(trends, "region", names).groupBy("date").pivot("region", names).agg(F.sum("interest_value"))
         path = scratch_path(spark, topic)
         write_table(wide, path, "csv")
         written = spark.read.text(path).inputFiles()
@@ -507,7 +507,8 @@ def posts_file(spark, sf_dir):
 @query
 def counts_file(spark, sf_dir):
     topics = ["click", "error", "purchase", "signup", "view"]
-    wide = standins.topic_series(spark, sf_dir).groupBy("date").pivot("topic", topics).agg(F.sum("value"))
+    series_rows = rollup.only_listed(standins.topic_series(spark, sf_dir), "topic", topics)
+    wide = series_rows.groupBy("date").pivot("topic", topics).agg(F.sum("value"))
     path = scratch_path(spark, "counts")
     write_table(wide.withColumn("isPartial", F.lit(False)), path, "csv")
     return read_counts(spark, path)

@@ -41,6 +41,12 @@ def test_months_sum_to_all_days(spark):
     assert months.agg(F.sum("total")).first()[0] == counts.agg(F.sum("value")).first()[0]
 
 
+def test_a_topic_that_is_not_listed_is_an_error(spark):
+    months = rollup.monthly_rollup(standins.topic_series(spark, SF_DIR))
+    with pytest.raises(Exception, match="topic is not listed"):
+        rollup.monthly_wide(months, ["click"]).collect()
+
+
 def test_dedupe_keeps_each_url_once_and_is_idempotent(spark, rows):
     articles = standins.articles(spark, SF_DIR)
     unique = dedupe_articles(articles)

@@ -74,10 +74,17 @@ def test_pages_are_pruned_before_they_are_sorted(spark):
     assert "LeftSemi" in plan and plan.index("Window") < plan.index("LeftSemi")
 
 
-def test_timeline_reads_its_series_once(spark):
-    timeline = series.timeline_table(standins.topic_series(spark, SF_DIR))
-    timeline.collect()
-    assert plan_of(timeline).split("Initial Plan")[0].count("ReusedExchange") >= 2
+def test_a_stored_series_is_scanned_twice_at_most(spark, tmp_path):
+    """A timeline reads its points, and the statistics once for all marks; a report likewise."""
+    standins.topic_series(spark, SF_DIR).write.parquet(str(tmp_path / "series"))
+    stored = spark.read.parquet(str(tmp_path / "series"))
+    timeline = series.timeline_table(stored)
+    report = reports.topic_report(stored, standins.region_interest(spark, SF_DIR), standins.related_queries(spark, SF_DIR))
+    for df in (timeline, report):
+        df.collect()
+        final = plan_of(df).split("Initial Plan")[0]
+        assert 1 <= sum("FileScan" in line and "[topic" in line and "date" in line for line in final.splitlines()) <= 2
+    assert "ReusedExchange" in plan_of(timeline).split("Initial Plan")[0]
 
 
 def test_date_catalog_reads_its_table_once(spark):
