@@ -16,14 +16,18 @@ def _per_pair(trends: DataFrame) -> DataFrame:
     )
 
 
-def profile_trends(trends: DataFrame) -> DataFrame:
-    """One row: date range, distinct regions and topics, number of rows."""
+def profile_trends(trends: DataFrame, approximate: bool = False) -> DataFrame:
+    """One row: date range, distinct regions and topics, number of rows.
+
+    ``approximate`` estimates the distinct numbers, for tables with very many regions or topics.
+    """
+    distinct = F.approx_count_distinct if approximate else F.countDistinct
     # Distinct values are counted over (topic, region) pairs, not over the rows.
     return _per_pair(trends).agg(
         F.min("first_date").alias("first_date"),
         F.max("last_date").alias("last_date"),
-        F.countDistinct("region").alias("n_regions"),
-        F.countDistinct("topic_name").alias("n_topics"),
+        distinct("region").alias("n_regions"),
+        distinct("topic_name").alias("n_topics"),
         F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"),
     )
 

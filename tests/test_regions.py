@@ -148,6 +148,7 @@ def test_sparkline_gaps_and_latest(spark, rows):
 
 def test_profile_catalogues_coverage(spark, rows, trends):
     assert rows.get(profile_trends(trends)) == [(D1, D2, 3, 2, 6)]
+    assert rows.get(profile_trends(trends, approximate=True)) == [(D1, D2, 3, 2, 6)]
     assert rows.get(profile_trends(trends.filter("false"))) == [(None, None, 0, 0, 0)]
     assert [r[0] for r in topic_catalog(trends).collect()] == ["HS2", "S"]
     assert [tuple(r) for r in date_catalog(trends).collect()] == [(D1, 4, False), (D2, 2, True)]
