@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import shutil
 import tempfile
 import uuid
@@ -52,16 +51,18 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "civicp
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
-        .config("spark.checkpoint.dir", os.environ.get("SPARK_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="civicpulse-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if spark.sparkContext.getCheckpointDir() is None:  # spark.checkpoint.dir is unset
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="civicpulse-"))
     return prepare(spark)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder named in ``spark.checkpoint.dir``."""
-    shared = spark.conf.get("spark.checkpoint.dir", "")
+    """A fresh path below the shared folder named in ``spark.checkpoint.dir``, or set for checkpoints."""
+    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not shared:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return f"{shared.rstrip('/')}/civicpulse/{name}-{uuid.uuid4().hex}"

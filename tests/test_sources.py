@@ -211,7 +211,9 @@ def test_posts_with_cells_that_are_no_numbers(spark, tmp_path):
 
 def test_scratch_paths_are_fresh_and_shared(spark):
     one, two = scratch_path(spark, "x"), scratch_path(spark, "x")
-    assert one != two and one.startswith(spark.conf.get("spark.checkpoint.dir"))
-    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default))
+    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    assert one != two and one.startswith(shared)
+    context = SimpleNamespace(getCheckpointDir=lambda: None)
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=context)
     with pytest.raises(ValueError):
         scratch_path(unset, "x")
