@@ -42,19 +42,29 @@ ROUNDS = 3
 _STRIDE = 256
 
 
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def running_sums(values: Column) -> Column:
     """The sum before each element of an array of longs, in steps so that long arrays stay cheap."""
+    none = F.array().cast("array<long>")
+
     def sums(part: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("out"))
+        begin = F.struct(F.lit(0).cast("long").alias("sum"), none.alias("out"))
         grown = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["out"], acc["sum"]).alias("out"))
-        return F.aggregate(part, start, grown, lambda acc: acc["out"])
+        return F.aggregate(part, begin, grown, lambda acc: acc["out"])
 
-    blocks = F.transform(F.sequence(F.lit(1), F.size(values), F.lit(_STRIDE)), lambda at: F.slice(values, at, F.lit(_STRIDE)))
-    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
-    joined = F.flatten(F.zip_with(
-        blocks, sums(F.transform(blocks, total)), lambda part, base: F.transform(sums(part), lambda x: x + base)
-    ))
-    return F.when(F.size(values) > 0, joined).otherwise(F.array().cast("array<long>"))
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x))
+        return F.flatten(F.zip_with(blocks, sums(totals), lambda part, base: F.transform(sums(part), lambda x: x + base)))
+
+    def cut(all_values: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(all_values), F.lit(_STRIDE))
+        return F.transform(starts, lambda at: F.slice(all_values, at, F.lit(_STRIDE)))
+
+    return _with(values, lambda v: F.when(F.size(v) > 0, _with(cut(v), joined)).otherwise(none))
 
 
 def _matches(text: Column, expression: str) -> Column:
