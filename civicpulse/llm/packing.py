@@ -21,9 +21,9 @@ from civicpulse.llm.common import text_rows
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k"
 #: Lengths above this share of the capacity are large.
-LARGE = 1 / 8
+LARGE = 1 / 4
 #: Groups of equal cardinality that the large lengths are rounded up in.
-GROUPS = 96
+GROUPS = 1024
 
 #: Runs without white space from this length on go to the library whose time stays linear in them.
 _LONG_RUN = re.compile(r"\S{400}")
