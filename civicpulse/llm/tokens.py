@@ -213,6 +213,9 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
 
     Null and empty texts have 0 tokens. Rows are counted one by one, so repeated rows, doc_ids with
     several texts and null doc_ids all keep a row each; an empty table gives an empty one.
+
+    A place in a block stands for a row, so ``docs`` should be a stored table: a part that is read
+    again after a loss must give its rows in the same order, as files and checkpoints do.
     """
     spark = docs.sparkSession
     path = public_tokenizers.path(vocabulary)

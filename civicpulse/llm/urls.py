@@ -93,10 +93,11 @@ def templates(shapes: DataFrame) -> DataFrame:
         ).drop("child", "segment").checkpoint()
     tree = tree.withColumn("template", F.when(F.size("segments") > LEVELS, F.concat("prefix", F.lit("/..."))).otherwise(F.col("prefix")))
     sums = [F.sum("labelled").alias("l"), F.sum("blocked").alias("b")]
-    whole = tree.agg(((F.coalesce(F.sum("blocked"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2.0)).alias("prior"))
-    hosts = tree.groupBy("host").agg(*sums).join(F.broadcast(whole)).select(
-        "host", ((F.col("b") + WEIGHT * F.col("prior")) / (F.col("l") + WEIGHT)).alias("host_share")
-    )
+    whole = tree.agg(*sums).head()
+    prior = ((whole["b"] or 0) + 1.0) / ((whole["l"] or 0) + 2.0)
+    hosts = tree.groupBy("host").agg(*sums).select(
+        "host", ((F.col("b") + F.lit(WEIGHT * prior)) / (F.col("l") + WEIGHT)).alias("host_share")
+    )
     found = tree.groupBy("host", "template").agg(*sums).join(hosts, "host").select(
         "template", ((F.col("b") + WEIGHT * F.col("host_share")) / (F.col("l") + WEIGHT)).alias("share")
     )

@@ -92,6 +92,19 @@ def test_values_of_odd_rows(docs):
     assert sorted(r.spans for r in pii.personal_data(docs).collect()) == spans
 
 
+@pytest.mark.parametrize("group", [1, repeats.GROUP])
+def test_repeats_within_and_between_texts(spark, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    words = [f"r{i}" for i in range(200)]
+    texts = [
+        "x " * 100, "x " * 34, " ".join(words[:36]), " ".join(words[1:36]), " ".join(words[2:36]), " ".join(words[50:90] * 2),
+        " ".join(words[100:140] + ["gap"] + words[140:180]), " ".join(["new"] + words[105:175]), "x " * 50 + " ".join(words[:40]),
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [tuple(r)[1:] for r in repeats.remove_repeats(table).orderBy("doc_id").collect()]
+    assert found == without_repeats(texts)
+
+
 def test_tokens_of_odd_rows(docs):
     import public_tokenizers
     import sentencepiece
