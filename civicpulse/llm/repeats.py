@@ -249,7 +249,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = keyed_rows(docs)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    parts = 2 * buckets
+    # A part is read into memory: a quarter of what one task scans.
+    parts = 4 * buckets
     part = F.pmod(F.xxhash64("doc_id", "key"), F.lit(parts)).cast("int").alias("part")
     dealt = rows.select(part, "doc_id", "key", "text").repartition(parts, "part")
     by_part = dealt.groupBy("part")
