@@ -24,7 +24,7 @@ SUBSTITUTED = 2
 #: A factor for each place under a mask.
 _FACTORS = mixed(np.arange(977, 977 + max(map(len, MASKS)), dtype=np.uint64)) | np.uint64(1)
 #: The filter that training hashes pass before they are joined has at most so many bits.
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 26
 
 
 def _seeds(words: Words, short: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -76,27 +76,29 @@ def _item_hashes(short: tuple[int, ...]):
 
 
 def _bits(hashes: DataFrame) -> np.ndarray:
-    """A filter over the test hashes; at most FILTER_BITS, whatever their number."""
+    """A filter over the test hashes, 64 bits to a number; at most FILTER_BITS, whatever their number."""
     count = hashes.count()
     size = 1 << 16
     while size < 16 * count and size < FILTER_BITS:
         size *= 2
-    slots = hashes.select((F.col("hash").bitwiseAND(F.lit(size - 1))).alias("slot")).distinct().toArrow()
-    bits = np.zeros(size, bool)
-    bits[np.asarray(slots["slot"])] = True
-    return np.packbits(bits)
+    slot = F.col("hash").bitwiseAND(F.lit(size - 1))
+    words = hashes.select(F.floor(slot / 64).alias("word"), F.pmod(slot, F.lit(64)).cast("int").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[np.asarray(found["word"])] = np.asarray(found["bits"])
+    return out.view(np.uint64)
 
 
-def _hits(packed: np.ndarray, short: tuple[int, ...]):
-    size = len(packed) * 8
+def _hits(bits: np.ndarray, short: tuple[int, ...]):
+    mask = np.uint64(64 * len(bits) - 1)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(packed).view(bool)
         for texts in chunks(batches):
             words = folded(texts).words()
             doc_id, key = texts.columns["doc_id"], texts.columns["key"]
             for _, at, hashes in _seeds(words, short):
-                hit = bits[(hashes & np.uint64(size - 1)).astype(np.int64)]
+                slot = hashes & mask
+                hit = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).view(np.int64) > 0
                 at, hashes = at[hit], hashes[hit]
                 owner = words.text[at]
                 yield pa.RecordBatch.from_arrays(
