@@ -17,8 +17,8 @@ MASKS = ("110110111011", "1110100110111", "11001101011101")
 LEAST_WORDS = 5
 #: An overlap counts from this many words on (or the whole of a shorter item) ...
 OVERLAP_WORDS = 13
-#: ... if this share of its words is equal.
-EQUAL_SHARE = 0.8
+#: ... if this share of its words is equal, a fraction: 4 / 5.
+EQUAL_SHARE = (4, 5)
 #: Weight of a substituted word against an equal one when an overlap is extended.
 SUBSTITUTED = 2
 #: A factor for each place under a mask.
@@ -110,17 +110,39 @@ def _hits(bits: np.ndarray, short: tuple[int, ...]):
     return found
 
 
-def best_overlap(document: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Start in the document, words and equal words of the best overlap with the item's first word at ``shift``."""
+def best_overlap(document: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
+    """Start in the document, words and equal words of the best overlap with the item's first word at ``shift``.
+
+    Every stretch counts that is long and equal enough. The best is the one of the highest score if it
+    counts, else the one with the most equal words, of these the shortest and earliest; None if none counts.
+    """
+    least = min(OVERLAP_WORDS, len(item))
     low, high = max(0, -shift), min(len(item), len(document) - shift)
+    if high - low < least:
+        return None
     equal = document[low + shift : high + shift] == item[low:high]
-    if not len(equal):
-        return 0, 0, 0
-    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -SUBSTITUTED))])
-    lowest = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - lowest))
-    begin = int(np.flatnonzero(sums[: end + 1] == lowest[end])[-1])
-    return low + shift + begin, end - begin, int(equal[begin:end].sum())
+    total = np.concatenate([[0], np.cumsum(equal)])
+    places = np.arange(len(total))
+    if total[-1] * EQUAL_SHARE[1] < least * EQUAL_SHARE[0]:
+        return None
+    # A stretch is equal enough if its surplus, a whole number, isn't below zero.
+    surplus = EQUAL_SHARE[1] * total - EQUAL_SHARE[0] * places
+    score = (1 + SUBSTITUTED) * total - SUBSTITUTED * places
+    lowest = np.minimum.accumulate(score)
+    end = int(np.argmax(score - lowest))
+    begin = int(np.flatnonzero(score[: end + 1] == lowest[end])[-1])
+    if end - begin < least or surplus[end] < surplus[begin]:
+        # The last place that isn't below each place has the most equal words; trailing others are cut.
+        highest = np.maximum.accumulate(surplus[::-1])[::-1]
+        ends = np.searchsorted(-highest, -surplus, "right") - 1
+        begins = np.flatnonzero(ends - places >= least)
+        if not len(begins):
+            return None
+        same = total[ends[begins]]
+        ends = np.maximum(np.searchsorted(total, same), begins + least)
+        chosen = np.lexsort((begins, ends - begins, -(same - total[begins])))[0]
+        begin, end = int(begins[chosen]), int(ends[chosen])
+    return low + shift + begin, end - begin, int(total[end] - total[begin])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,11 +156,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = folded(Texts(text_array([f["item"] for f in found]), {})).words()
             for i, candidate in enumerate(found):
                 item = items.hash[items.first[i] : items.first[i + 1]]
-                start, words, equal = max(
-                    (best_overlap(document, item, s) for s in candidate["shifts"]),
-                    key=lambda o: (o[2], -o[1], -o[0]),
-                )
-                if words >= min(OVERLAP_WORDS, len(item)) and equal >= EQUAL_SHARE * words:
+                every = [o for s in candidate["shifts"] if (o := best_overlap(document, item, s))]
+                if every:
+                    start, words, equal = max(every, key=lambda o: (o[2], -o[1], -o[0]))
                     values = (one.column("doc_id")[0].as_py(), one.column("key")[0].as_py(), candidate["item_id"], start, words, equal)
                     for column, value in zip(rows, values):
                         column.append(value)
@@ -150,7 +170,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words are compared without ASCII case and punctuation. Every whole text is searched; an overlap
     has ``OVERLAP_WORDS`` words or the whole item, of which ``EQUAL_SHARE`` are equal, the rest
-    substituted; the best alignment of an item is reported, ties to the earliest. Items of 5 to 11
+    substituted, and any such stretch of any alignment counts; the best one of an item is reported,
+    ties to the earliest. Items of 5 to 11
     words must occur unchanged, shorter ones aren't looked for. Null and empty texts have none,
     repeated rows have rows each, and empty tables give an empty result.
 
