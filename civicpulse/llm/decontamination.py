@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from civicpulse.llm.common import Texts, Words, chunks, folded, keyed_rows, mixed, signed, text_array
 
-#: Fixed masks: 1 compares a token, 0 ignores it. Nine tokens of a span of twelve to fourteen.
-MASKS = ("110110111011", "1110100110111", "11001101011101")
+#: Fixed masks: 1 compares a token, 0 ignores it. Seven tokens of a span of seven to twelve, such that one of
+#: them fits beside any two substitutions in 12 words, three in 15, four in 20 and five in 25. Every overlap
+#: holds such a part: one of 26 words or more is two, one of which is equal enough itself.
+MASKS = ("11101111", "1111010011", "11010011011", "1111111", "110101001011", "11101000111", "110010010111")
+#: Items of fewer words are looked for unchanged.
+MASKED_WORDS = max(map(len, MASKS))
 #: Items of fewer words say too little to be looked for.
 LEAST_WORDS = 5
 #: An overlap counts from this many words on (or the whole of a shorter item) ...
@@ -23,7 +27,9 @@ EQUAL_SHARE = (4, 5)
 SUBSTITUTED = 2
 #: A factor for each place under a mask.
 _FACTORS = mixed(np.arange(977, 977 + max(map(len, MASKS)), dtype=np.uint64)) | np.uint64(1)
-#: The filter that training hashes pass before they are joined has at most so many bits.
+#: The filter that training hashes pass before they are joined has so many bits a test hash ...
+BITS_A_HASH = 256
+#: ... and at most so many.
 FILTER_BITS = 1 << 26
 
 
@@ -33,21 +39,23 @@ def _seeds(words: Words, short: tuple[int, ...]) -> Iterator[tuple[int, np.ndarr
     for m, mask in enumerate(MASKS):
         if count < len(mask):
             continue
-        at = np.flatnonzero(words.text[: count - len(mask) + 1] == words.text[len(mask) - 1 :])
-        total = np.full(len(at), m + 1, np.uint64)
+        places = count - len(mask) + 1
+        at = np.flatnonzero(words.text[:places] == words.text[len(mask) - 1 :])
+        total = np.full(places, m + 1, np.uint64)
         for step in (i for i, c in enumerate(mask) if c == "1"):
-            total += words.hash[at + step] * _FACTORS[step]
-        yield 0, at, mixed(total)
+            total += words.hash[step : step + places] * _FACTORS[step]
+        yield 0, at, mixed(total[at])
     for n in short:
         at, hashes = words.grams(n)
         yield n, at, mixed(hashes + np.uint64(n * 7919))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """One row per item_id: rows without item_id or text are none, of several texts the first counts."""
+    """Each distinct text of an item_id, ``item_key`` naming it: rows without item_id or text are none."""
     return (
         benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-        .groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
+        .select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+        .withColumn("item_key", F.xxhash64("text"))
     )
 
 
@@ -61,16 +69,16 @@ def _item_hashes(short: tuple[int, ...]):
         for texts in chunks(batches):
             words = folded(texts).words()
             sizes = np.diff(words.first)
-            item = np.asarray(texts.columns["item_id"])
+            item, key = np.asarray(texts.columns["item_id"]), np.asarray(texts.columns["item_key"])
             for n, at, hashes in _seeds(words, short):
                 owner = words.text[at]
-                if n:
-                    whole = sizes[owner] == n
-                    at, hashes, owner = at[whole], hashes[whole], owner[whole]
+                sought = sizes[owner] == n if n else sizes[owner] >= MASKED_WORDS
+                at, hashes, owner = at[sought], hashes[sought], owner[sought]
                 yield pa.RecordBatch.from_arrays(
-                    [signed(hashes), pa.array(item[owner]), pa.array((at - words.first[owner]).astype(np.int64))],
-                    ["hash", "item_id", "item_at"],
-                )
+                    [signed(hashes), pa.array(item[owner]), pa.array(key[owner]),
+                     pa.array((at - words.first[owner]).astype(np.int64))],
+                    ["hash", "item_id", "item_key", "item_at"],
+                )
 
     return hashed
 
@@ -79,7 +87,7 @@ def _bits(hashes: DataFrame) -> np.ndarray:
     """A filter over the test hashes, 64 bits to a number; at most FILTER_BITS, whatever their number."""
     count = hashes.count()
     size = 1 << 16
-    while size < 16 * count and size < FILTER_BITS:
+    while size < BITS_A_HASH * count and size < FILTER_BITS:
         size *= 2
     slot = F.col("hash").bitwiseAND(F.lit(size - 1))
     words = hashes.select(F.floor(slot / 64).alias("word"), F.pmod(slot, F.lit(64)).cast("int").alias("bit"))
@@ -154,14 +162,17 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             document = folded(Texts(one.column("text"), {})).words().hash
             found = one.column("found")[0].as_py()
             items = folded(Texts(text_array([f["item"] for f in found]), {})).words()
+            every: dict[int, list] = {}
             for i, candidate in enumerate(found):
                 item = items.hash[items.first[i] : items.first[i + 1]]
-                every = [o for s in candidate["shifts"] if (o := best_overlap(document, item, s))]
-                if every:
-                    start, words, equal = max(every, key=lambda o: (o[2], -o[1], -o[0]))
-                    values = (one.column("doc_id")[0].as_py(), one.column("key")[0].as_py(), candidate["item_id"], start, words, equal)
-                    for column, value in zip(rows, values):
-                        column.append(value)
+                overlapping = [o for s in candidate["shifts"] if (o := best_overlap(document, item, s))]
+                if overlapping:
+                    every.setdefault(candidate["item_id"], []).extend(overlapping)
+            for item_id, overlapping in every.items():
+                start, words, equal = max(overlapping, key=lambda o: (o[2], -o[1], -o[0]))
+                values = (one.column("doc_id")[0].as_py(), one.column("key")[0].as_py(), item_id, start, words, equal)
+                for column, value in zip(rows, values):
+                    column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names)
 
 
@@ -171,27 +182,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are compared without ASCII case and punctuation. Every whole text is searched; an overlap
     has ``OVERLAP_WORDS`` words or the whole item, of which ``EQUAL_SHARE`` are equal, the rest
     substituted, and any such stretch of any alignment counts; the best one of an item is reported,
-    ties to the earliest. Items of 5 to 11
-    words must occur unchanged, shorter ones aren't looked for. Null and empty texts have none,
+    ties to the earliest. Every distinct
+    text of an item is searched. Items of 5 to 11 words must occur unchanged, shorter ones aren't
+    looked for. Null and empty texts have none,
     repeated rows have rows each, and empty tables give an empty result.
 
     Training hashes pass a filter of bounded size before they are shuffled to the join, so what
     moves is what matches, and a benchmark of any size goes the same way.
     """
     items = _items(benchmark).where(F.length("text") > 0)
-    longest = max(map(len, MASKS))
-    lengths = items.mapInArrow(_lengths, "n long").where((F.col("n") >= LEAST_WORDS) & (F.col("n") < longest))
+    lengths = items.mapInArrow(_lengths, "n long").where((F.col("n") >= LEAST_WORDS) & (F.col("n") < MASKED_WORDS))
     short = tuple(sorted(r.n for r in lengths.distinct().collect()))
-    hashes = items.mapInArrow(_item_hashes(short), "hash long, item_id long, item_at long").distinct()
+    hashes = items.mapInArrow(_item_hashes(short), "hash long, item_id long, item_key long, item_at long").distinct()
     rows = keyed_rows(docs)
     hits = rows.mapInArrow(_hits(_bits(hashes), short), "hash long, doc_id long, key long, doc_at long")
     aligned = (
         hits.join(hashes, "hash")
-        .select("doc_id", "key", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
-        .groupBy("doc_id", "key", "item_id").agg(F.collect_set("shift").alias("shifts"))
+        .select("doc_id", "key", "item_id", "item_key", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+        .groupBy("doc_id", "key", "item_id", "item_key").agg(F.collect_set("shift").alias("shifts"))
     )
     found = (
-        aligned.join(items.withColumnRenamed("text", "item"), "item_id")
+        aligned.join(items.withColumnRenamed("text", "item"), ["item_id", "item_key"])
         .groupBy(F.col("doc_id").alias("found_id"), F.col("key").alias("found_key"))
         .agg(F.collect_list(F.struct("item_id", "item", "shifts")).alias("found"))
     )

@@ -1,5 +1,7 @@
 """Overlaps with benchmark items against every stretch of every alignment, by the definition."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 
@@ -56,3 +58,29 @@ def test_runs_between_replaced_words(pairs):
     texts = [replaced(51, *range(13, 19), *range(32, 38)), replaced(67, *range(20, 29), *range(49, 58))]
     items = [(0, replaced(51)), (1, [f"w{i}" for i in range(67)])]
     assert pairs(texts, items) >= {(0, 0), (1, 1)}
+
+
+@pytest.mark.parametrize("n, substituted", [(12, 2), (13, 2), (14, 2), (15, 3), (16, 3), (18, 3), (20, 4), (25, 5)])
+def test_a_mask_fits_beside_any_substitutions(n, substituted):
+    gone = np.array([sum(1 << i for i in c) for c in combinations(range(n), substituted)])
+    hit = np.zeros(len(gone), bool)
+    for mask in decontamination.MASKS:
+        bits = sum(1 << i for i, c in enumerate(mask) if c == "1")
+        for at in range(n - len(mask) + 1):
+            hit |= gone & (bits << at) == 0
+    assert hit.all()
+
+
+def test_every_pattern_within_the_share_is_found(pairs):
+    chance = np.random.default_rng(11)
+    texts = [replaced(n, *c) for n in (12, 13) for c in combinations(range(n), 2)]
+    texts += [replaced(n, *chance.choice(n, s, replace=False)) for n, s in [(15, 3), (16, 3), (20, 4), (25, 5)] for _ in range(40)]
+    items = [(n, replaced(n)) for n in (12, 13, 15, 16, 20, 25)]
+    found = pairs(texts, items)
+    assert found >= {(i, len(t)) for i, t in enumerate(texts)}
+    assert all(counts([a == b for a, b in zip(texts[i], replaced(n))]) for i, n in found)
+
+
+def test_every_text_of_an_item_is_searched(pairs):
+    first, second = [f"a{i}" for i in range(20)], [f"b{i}" for i in range(20)]
+    assert pairs([first, second], [(1, first), (1, second), (1, second)]) == {(0, 1), (1, 1)}
