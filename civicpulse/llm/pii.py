@@ -26,10 +26,23 @@ EXPRESSIONS = {
 _NEEDED = {"email": "@", "ip": ".", "phone": "+"}
 #: Words with a digit may be identifiers; ends of punctuation don't belong to them.
 TOKEN = r"(?<!\S)(?=[^\s0-9]*+[0-9])\S++"
+#: Two such words or more of digits, dots, hyphens and brackets, one beside the other, are one candidate.
+_NUMBER = r"""(?=[^\s0-9]*+[0-9])[0-9().\[\]-]++(?=["'>},;:!?]*+(?!\S))"""
+RUN = rf"""(?<!\S)["'<{{]*+{_NUMBER}(?:\x20(?:[.-]\x20)?+{_NUMBER})++"""
+#: An e-mail address with "at" in brackets, or a wide sign, for the at-sign; its dots may be "dot" in brackets.
+_OPENS, _CLOSES = r"\x20?+[(\[{<]\x20?+", r"\x20?+[)\]}>]\x20?+"
+MAIL = (
+    rf"(?<!{_LOCAL}){_LOCAL}++(?:{_OPENS}(?i:at){_CLOSES}|\uFF20)"
+    rf"[A-Za-z0-9-]++(?:(?:\.|{_OPENS}(?i:dot){_CLOSES})[A-Za-z0-9-]++)++"
+)
 _BEFORE = r"""^[("'<\[{]+"""
+#: A run keeps the bracket of an area code.
+_BEFORE_RUN = r"""^(?:["'<\[{]|\((?![0-9]++\)))+"""
 _AFTER = r"""[)"'>\]},.;:!?]+$"""
 
-#: Digits of a word from which it can be an identifier; one with fewer only speaks against a pattern.
+#: Numbers after those of the kinds: candidates of any kind, and those that can be e-mail addresses only.
+OPEN, OPEN_MAIL = len(KINDS), len(KINDS) + 1
+#: Digits of a candidate from which it can be an identifier; one with fewer only speaks against a pattern.
 LEAST_DIGITS = 4
 #: Distinct values of a kind that a context needs before it is a pattern.
 SUPPORT = 3
@@ -142,9 +155,9 @@ def _found(text: Column, expression: str, needed: str | None) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, key, for each kind the spans that count, and the words with digits."""
+    """Per row: doc_id, key, for each kind the spans that count, the words with digits, runs of them, and written-out e-mails."""
     rows = keyed_rows(docs)
-    searched = {**EXPRESSIONS, "token": TOKEN}
+    searched = {**EXPRESSIONS, "token": TOKEN, "run": RUN, "mail": MAIL}
     for kind, expression in searched.items():
         rows = rows.withColumn(f"{kind}_found", _found(F.col("text"), expression, _NEEDED.get(kind)))
     for kind, expression in searched.items():
@@ -160,23 +173,45 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "key", *spans.values())
 
 
-def _mentions(found: DataFrame) -> DataFrame:
-    """Base spans, and words with digits that overlap none of them, once per (doc_id, key)."""
-    parts = [_of_kind(n, kind, "start", "end", "value", "context") for n, kind in enumerate(KINDS)]
-    trimmed = F.transform("token", lambda s: F.struct(
-        F.lit(len(KINDS)).alias("kind"),
-        (s["start"] + F.length(s["value"]) - F.length(F.regexp_replace(s["value"], _BEFORE, ""))).alias("start"),
+def _trimmed(spans: str, number: int, before: str) -> Column:
+    """Spans as structs of a number, without the punctuation at their ends."""
+    return F.transform(spans, lambda s: F.struct(
+        F.lit(number).alias("kind"),
+        (s["start"] + F.length(s["value"]) - F.length(F.regexp_replace(s["value"], before, ""))).alias("start"),
         (s["end"] - F.length(s["value"]) + F.length(F.regexp_replace(s["value"], _AFTER, ""))).alias("end"),
-        F.regexp_replace(F.regexp_replace(s["value"], _BEFORE, ""), _AFTER, "").alias("value"),
+        F.regexp_replace(F.regexp_replace(s["value"], before, ""), _AFTER, "").alias("value"),
         s["context"].alias("context"),
     ))
-    rows = found.select("doc_id", "key", F.explode(F.concat(*parts, trimmed)).alias("m")).select("doc_id", "key", "m.*").distinct()
+
+
+def _mentions(found: DataFrame) -> DataFrame:
+    """Base spans, and candidates that overlap none of them, once per (doc_id, key).
+
+    Candidates are runs, written-out e-mails, and the words with digits that are in neither; the
+    words of a run that overlaps a base span stay candidates of their own.
+    """
+    parts = [_of_kind(n, kind, "start", "end", "value", "context") for n, kind in enumerate(KINDS)]
+    run = OPEN_MAIL + 1
+    more = [_trimmed("token", OPEN, _BEFORE), _trimmed("run", run, _BEFORE_RUN), _of_kind(OPEN_MAIL, "mail", "start", "end", "value", "context")]
+    rows = found.select("doc_id", "key", F.explode(F.concat(*parts, *more)).alias("m")).select("doc_id", "key", "m.*").distinct()
     base = F.col("kind") < len(KINDS)
     in_row = Window.partitionBy("doc_id", "key").orderBy("start", "kind", "end")
     before = F.max(F.when(base, F.col("end"))).over(in_row.rowsBetween(Window.unboundedPreceding, 0))
     after = F.min(F.when(base, F.col("start"))).over(in_row.rowsBetween(0, Window.unboundedFollowing))
     clear = (F.coalesce(before, F.lit(0)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
-    return rows.withColumn("clear", base | clear).where("clear").drop("clear")
+    rows = rows.withColumn("clear", base | clear).where("clear").drop("clear")
+    by_start = Window.partitionBy("doc_id", "key").orderBy("start")
+    until = F.max(F.when(F.col("kind") > OPEN, F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0))
+    # A word may begin in an address's bracket, so its end counts too.
+    since = F.min(F.when(F.col("kind") > OPEN, F.col("start"))).over(by_start.rangeBetween(0, Window.unboundedFollowing))
+    inside = (F.coalesce(until, F.lit(0)) > F.col("start")) | (F.coalesce(since, F.col("end")) < F.col("end"))
+    rows = rows.withColumn("inside", (F.col("kind") == OPEN) & inside).where("not inside").drop("inside")
+    return rows.withColumn("kind", F.when(F.col("kind") == run, OPEN).otherwise(F.col("kind")))
+
+
+def _can_be(candidate: Column, kind: Column) -> Column:
+    """Whether a candidate can be of a kind: a written-out e-mail is nothing else."""
+    return (candidate != OPEN_MAIL) | (kind == KINDS.index("email"))
 
 
 def _patterns(mentions: DataFrame) -> DataFrame:
@@ -195,7 +230,7 @@ def _scored(edges: DataFrame) -> DataFrame:
     """
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("size"))
     known = edges.where(F.col("kind") < len(KINDS)).select("pattern", "value", "kind", F.lit(1.0).alias("score"))
-    open_edges = edges.where(F.col("kind") == len(KINDS)).select("pattern", "value")
+    open_edges = edges.where(F.col("kind") >= OPEN).select("pattern", "value", F.col("kind").alias("candidate"))
     votes = known
     for turn in range(ROUNDS):
         weight = votes.groupBy("pattern", "kind").agg(F.sum("score").alias("weight"), F.count("*").alias("values"))
@@ -206,7 +241,7 @@ def _scored(edges: DataFrame) -> DataFrame:
         if turn == ROUNDS - 1:
             return scores
         speaking = scores.where(F.col("confidence") >= SPEAKS)
-        heard = open_edges.join(speaking, "pattern").groupBy("value", "kind").agg(
+        heard = open_edges.join(speaking, "pattern").where(_can_be(F.col("candidate"), F.col("kind"))).groupBy("value", "kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score")
         )
         votes = known.union(open_edges.join(heard, "value").select("pattern", "value", "kind", "score"))
@@ -219,8 +254,8 @@ def found_by_context(found: DataFrame) -> DataFrame:
     sure = _scored(edges).where(F.col("confidence") >= FINDS).withColumnRenamed("kind", "of")
     best = F.max_by(F.col("of"), F.struct(F.col("confidence"), -F.col("of"))).alias("kind")
     return (
-        mentions.where(F.col("kind") == len(KINDS)).drop("kind").where(_digits(F.col("value")) >= LEAST_DIGITS)
-        .join(sure, "pattern")
+        mentions.where((F.col("kind") == OPEN_MAIL) | (F.col("kind") == OPEN) & (_digits(F.col("value")) >= LEAST_DIGITS))
+        .join(sure, "pattern").where(_can_be(F.col("kind"), F.col("of"))).drop("kind")
         .groupBy("doc_id", "key", "start", "end").agg(best)
     )
 
@@ -236,7 +271,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     Offsets count code points of the whole text, ends are exclusive. The numbers and the digest are
     of the base spans alone; ``spans`` has those found by context too, of the kind of their pattern.
     A null or empty text has none; repeated rows have equal results, a row each; an empty table
-    gives an empty one. A word with digits that overlaps a base span isn't looked at again.
+    gives an empty one. A candidate is a run of words of digits, a word with a digit, or an e-mail address
+    with "(at)" or the like; one that overlaps a base span isn't looked at again.
     """
     found = base_spans(docs).checkpoint()
     more = found_by_context(found).groupBy(F.col("doc_id").alias("more_id"), F.col("key").alias("more_key")).agg(
