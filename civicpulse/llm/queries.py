@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicpulse.llm import decontamination, jaccard, neighbours, packing, pii, quality, repeats, sharding, tokens, urls
+from civicpulse.llm import (
+    decontamination,
+    jaccard,
+    merkle,
+    neighbours,
+    packing,
+    pii,
+    quality,
+    repeats,
+    sharding,
+    tokens,
+    urls,
+)
 from civicpulse.llm.common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -61,11 +73,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 2).alias("held_out"), "score", "predicted")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings("proof").cast("binary"), 256).alias("proof_sha256"),
+        "folded_root", "verified",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_personal_data, op3_repeated_passages, op4_token_counts, op5_nearest_neighbours,
         op6_decontamination, op7_sharding, op8_packing, op9_jaccard_join, op10_quality,
+        op12_merkle_manifest,
     )
 }
 
@@ -75,4 +97,5 @@ ORACLES: dict[str, str] = {
     "op3_repeated_passages": repeats.REPEATS_SQL,
     "op7_sharding": sharding.place_sql(SHARDS),
     "op9_jaccard_join": jaccard.CLASSES_SQL,
+    "op12_merkle_manifest": merkle.MANIFEST_SQL,
 }
