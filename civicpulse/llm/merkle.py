@@ -146,7 +146,7 @@ def prove(leaves: DataFrame, bits: int = BITS) -> DataFrame:
     kind = leaves.schema["doc_id"].dataType
     named = leaves.select(
         F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("tree"), "doc_id", F.col("leaf").alias("node"), "observed"
-    )
+    ).checkpoint()  # ranges are sampled first, and texts should be read once
     placed = ranked(named, "tree", "doc_id", "node").withColumn("doc_id", F.col("doc_id").cast("string")).checkpoint()
     heights = _heights(placed, bits)
     languages = heights[-1].select(F.lit("").alias("tree"), F.col("tree").alias("of"), "node")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicpulse.llm import (
+    conversations,
     decontamination,
     jaccard,
     merkle,
@@ -15,6 +16,7 @@ from civicpulse.llm import (
     quality,
     repeats,
     sharding,
+    simhash,
     tokens,
     urls,
 )
@@ -73,6 +75,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 2).alias("held_out"), "score", "predicted")
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     found = merkle.manifest(table(spark, sf_dir, "documents"), tampered)
@@ -82,12 +88,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_personal_data, op3_repeated_passages, op4_token_counts, op5_nearest_neighbours,
         op6_decontamination, op7_sharding, op8_packing, op9_jaccard_join, op10_quality,
-        op12_merkle_manifest,
+        op11_simhash_near_dedup, op12_merkle_manifest, op13_conversation_repair,
     )
 }
 
@@ -98,4 +108,5 @@ ORACLES: dict[str, str] = {
     "op7_sharding": sharding.place_sql(SHARDS),
     "op9_jaccard_join": jaccard.CLASSES_SQL,
     "op12_merkle_manifest": merkle.MANIFEST_SQL,
+    "op13_conversation_repair": conversations.REPAIR_SQL,
 }
