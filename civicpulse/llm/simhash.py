@@ -190,13 +190,13 @@ def _forest(table: pa.Table, reach: int) -> pa.Table:
     return pa.table({"a": points[linked], "b": points[root[linked]]})
 
 
-def _sent(nodes: list, reach: int, name: Callable[[pa.RecordBatch], int]) -> Callable:
-    """Batches of points to batches of points and their shards."""
+def _sent(nodes: list, reach: int, shard_of: int) -> Callable[[pa.RecordBatch | pa.Table], pa.Table]:
+    """Points of a shard to points and the shards they go to; a tree has at most as many as it was fitted on points."""
 
     def send(batch: pa.RecordBatch | pa.Table) -> pa.Table:
         points = np.asarray(batch.column("point"))
         parts = [(shard, points[own]) for shard, own in _dealt(points.view(np.uint64), nodes, reach)]
-        shards = [np.full(len(own), name(batch) * MOST_SHARDS + shard, np.int64) for shard, own in parts]
+        shards = [np.full(len(own), shard_of * 2 * SAMPLE + shard, np.int64) for shard, own in parts]
         empty = [np.zeros(0, np.int64)]
         return pa.table({"shard": np.concatenate(shards or empty), "point": np.concatenate([p for _, p in parts] or empty)})
 
@@ -208,7 +208,7 @@ def _shards(points: DataFrame, n: int, reach: int) -> DataFrame:
     wanted = min(max(LEAST_SHARDS, n // POINTS), MOST_SHARDS)
     sample = points.orderBy(F.xxhash64("point")).limit(SAMPLE).toArrow().column("point").to_numpy().view(np.uint64)
     nodes = _tree_of(sample, max(1, len(sample) // wanted), reach)
-    send = _sent(nodes[: MOST_SHARDS - 1] if len(nodes) < MOST_SHARDS else nodes, reach, lambda _: 0)
+    send = _sent(nodes, reach, 0)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +244,7 @@ def _again(points: DataFrame, sizes: DataFrame, reach: int) -> DataFrame:
     def send(key: tuple, own: pa.Table, tree: pa.Table) -> pa.Table:
         flat = tree.column("nodes")[0].as_py() if len(tree) else []
         nodes = [(flat[i] % (1 << 64), *flat[i + 1 : i + 4]) for i in range(0, len(flat), 4)]
-        return _sent(nodes, reach, lambda _: key[0].as_py())(own)
+        return _sent(nodes, reach, key[0].as_py())(own)
 
     both = large.select("shard", "salt", "point").groupBy("shard", "salt").cogroup(trees.groupBy("shard", "salt"))
     return both.applyInArrow(send, "shard long, point long")
