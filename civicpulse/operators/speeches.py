@@ -70,3 +70,11 @@ def promote_attributes(speeches: DataFrame, keys: Sequence[str]) -> DataFrame:
     if clashes:
         raise ValueError(f"attributes named like columns: {clashes}")
     return speeches.select(*others, *[F.col("attributes")[k].alias(k) for k in keys])
+
+
+def promote_all_attributes(speeches: DataFrame) -> DataFrame:
+    """``promote_attributes`` for every attribute that occurs, by name.
+
+    The names become columns of the plan, so they are collected: they are tag vocabulary, not data.
+    """
+    return promote_attributes(speeches, sorted(r.key for r in attribute_names(speeches).collect()))

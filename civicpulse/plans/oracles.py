@@ -417,6 +417,12 @@ SELECT doc_id::varchar AS url,
        json_object('anthropic_version', '{SUMMARY_API_VERSION}', 'max_tokens', 200, 'messages',
                    [json_object('role', 'user', 'content',
                                 {_text(SUMMARY_PROMPT)} || substring(text, 1, 15000))])::varchar AS body
+FROM documents WHERE {_trim('text')} <> ''""",
+    "summary_requests_of_all_texts": f"""
+SELECT doc_id::varchar AS url,
+       json_object('anthropic_version', '{SUMMARY_API_VERSION}', 'max_tokens', 200, 'messages',
+                   [json_object('role', 'user', 'content',
+                                {_text(SUMMARY_PROMPT)} || substring(text, 1, 15000))])::varchar AS body
 FROM documents WHERE {_trim('text')} <> ''""",
     "clean_summaries": rf"""
 SELECT conv_id || '/' || turn AS url,
@@ -450,14 +456,26 @@ SELECT date, topic_name, region, region AS region_name, interest_value::double A
 FROM trend_long""",
     "posts_file": f"""
 WITH {POSTS}
+SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M') AS created_at,
+                  CASE WHEN replies % 7 > 2 THEN likes END AS likes)
+FROM posts WHERE replies % 11 <> 0""",
+    "posts_large_file": f"""
+WITH {POSTS}
 SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M') AS created_at,
                   CASE WHEN replies % 7 > 2 THEN likes END AS likes)
 FROM posts WHERE replies % 11 <> 0""",
     "counts_file": f"WITH {SERIES} SELECT topic, date, value::double AS value FROM series",
     "boundaries_file": f"WITH {CENTROIDS} SELECT * FROM centroids",
+    "boundaries_large_file": f"WITH {CENTROIDS} SELECT * FROM centroids",
     "articles_file": """
 SELECT source AS search_query, pos, 'https://news.example/' || doc_id || '/' || pos AS url, text AS title
 FROM (SELECT *, unnest(range(0, doc_id % 3)) AS pos FROM documents)""",
+    "articles_of_all_texts_file": """
+SELECT source AS search_query, pos, 'https://news.example/' || doc_id || '/' || pos AS url, text AS title
+FROM (SELECT *, unnest(range(0, doc_id % 3 + 1)) AS pos FROM documents)""",
+    "speeches_large_file": """
+SELECT 'turns' AS source, conv_id::varchar AS conv, turn::varchar AS turn, role, text AS data
+FROM conversations""",
     "speeches_file": """
 SELECT 'turns' AS source, conv_id::varchar AS conv, turn::varchar AS turn, role, text AS data
 FROM conversations""",

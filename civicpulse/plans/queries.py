@@ -28,7 +28,7 @@ from civicpulse.operators import (
     topk,
 )
 from civicpulse.plans import reports, standins
-from civicpulse.session import prepare, scratch_path
+from civicpulse.session import literal_table, prepare, scratch_path
 from civicpulse.sources.articles import read_articles
 from civicpulse.sources.boundaries import read_boundaries, with_polygons
 from civicpulse.sources.posts import read_posts
@@ -431,6 +431,15 @@ def summary_requests(spark, sf_dir):
     )
 
 
+@query
+def summary_requests_of_all_texts(spark, sf_dir):
+    """Every text, and as many articles without one, which get no request."""
+    documents = standins.table(spark, sf_dir, "documents")
+    blank = documents.select((-F.col("doc_id") - 1).alias("doc_id"), F.when(F.col("doc_id") % 2 == 0, " \n ").alias("text"))
+    articles = documents.select("doc_id", "text").union(blank)
+    return news.summary_requests(articles.select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("content")))
+
+
 @query
 def clean_summaries(spark, sf_dir):
     return news.clean_summaries(standins.responses(spark, sf_dir))
@@ -488,8 +497,7 @@ def trend_long_file(spark, sf_dir):
     return read_trend_long(spark, path).withColumn("row_id", F.col("row_id").cast("long"))
 
 
-@query
-def posts_file(spark, sf_dir):
+def _post_cells(spark, sf_dir):
     """Some cells of likes are no count, and some times are no time."""
     number = F.col("replies")
     likes = (
@@ -498,12 +506,25 @@ def posts_file(spark, sf_dir):
     )
     time = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
     created = F.when(number % 11 == 0, "soon").otherwise(time)
-    cells = standins.posts(spark, sf_dir).drop("day").withColumns({"likes": likes, "created_at": created})
+    return standins.posts(spark, sf_dir).drop("day").withColumns({"likes": likes, "created_at": created})
+
+
+@query
+def posts_file(spark, sf_dir):
     path = scratch_path(spark, "posts")
-    write_table(cells, path, "csv", rows_per_file=ROWS_PER_FILE)
+    write_table(_post_cells(spark, sf_dir), path, "csv", rows_per_file=ROWS_PER_FILE)
     return read_posts(spark, path).withColumn("created_at", dates.iso_minute(F.col("created_at")))
 
 
+@query
+def posts_large_file(spark, sf_dir):
+    """All posts in one file, which every task reads a part of."""
+    path = scratch_path(spark, "posts-large")
+    write_table(_post_cells(spark, sf_dir).coalesce(1), path, "csv")
+    read = read_posts(spark, path, large_files=True)
+    return read.withColumn("created_at", dates.iso_minute(F.col("created_at")))
+
+
 @query
 def counts_file(spark, sf_dir):
     topics = ["click", "error", "purchase", "signup", "view"]
@@ -514,14 +535,17 @@ def counts_file(spark, sf_dir):
     return read_counts(spark, path)
 
 
+def _feature_text():
+    return F.concat(
+        F.lit('{"properties":'), F.to_json("properties"), F.lit(',"geometry":{"type":"'), F.col("geometry.type"),
+        F.lit('","coordinates":'), F.col("geometry.coordinates"), F.lit("}}"),
+    )
+
+
 @query
 def boundaries_file(spark, sf_dir):
     """Feature collections of one feature each, one per line."""
-    line = F.concat(
-        F.lit('{"features":[{"properties":'), F.to_json("properties"),
-        F.lit(',"geometry":{"type":"'), F.col("geometry.type"),
-        F.lit('","coordinates":'), F.col("geometry.coordinates"), F.lit("}}]}"),
-    )
+    line = F.concat(F.lit('{"features":['), _feature_text(), F.lit("]}"))
     path = scratch_path(spark, "boundaries")
     standins.features(spark, sf_dir).select(line).write.text(path)
     read = read_boundaries(spark, path, multi_line=False)
@@ -530,6 +554,18 @@ def boundaries_file(spark, sf_dir):
     return _rounded_place(geo.centroids(place, order=["order"]))
 
 
+@query
+def boundaries_large_file(spark, sf_dir):
+    """One collection in one file, its features in order, which every task reads a part of."""
+    features = standins.features(spark, sf_dir)
+    line = F.concat(F.lit(","), _feature_text())
+    edges = [(-2, '{"type":"FeatureCollection","features":[null'), (2**62, "]}")]
+    lines = features.select("feature_pos", line.alias("line")).union(literal_table(spark, edges, ["feature_pos", "line"]))
+    path = scratch_path(spark, "boundaries-large")
+    lines.coalesce(1).sortWithinPartitions("feature_pos").select("line").write.text(path)
+    return _rounded_place(geo.centroids(read_boundaries(spark, path, large_files=True)))
+
+
 @query
 def articles_file(spark, sf_dir):
     """One response per document, with none, one or two articles, in a folder per search query."""
@@ -545,19 +581,47 @@ def articles_file(spark, sf_dir):
 
 
 @query
-def speeches_file(spark, sf_dir):
+def articles_of_all_texts_file(spark, sf_dir):
+    """Every text is a title, in responses of one to three articles."""
+    documents = standins.table(spark, sf_dir, "documents")
+    numbers = F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 3)
+    found = F.transform(numbers, lambda i: F.struct(
+        F.concat(F.lit("https://news.example/"), F.col("doc_id"), F.lit("/"), i).alias("url"), F.col("text").alias("title")
+    ))
+    path = scratch_path(spark, "articles-all")
+    responses = documents.select(F.col("source").alias("search_query"), found.alias("articles"))
+    responses.write.partitionBy("search_query").json(path)
+    return read_articles(spark, path, multi_line=False).select("search_query", "pos", "url", "title")
+
+
+def _speeches_written(spark, sf_dir, name, files):
+    """Path of conversation turns as speeches; ``files`` makes the writer's partitions and rows per file."""
     speech = standins.table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("role").alias("_role"),
         F.col("text").alias("p"),
     )
-    path = scratch_path(spark, "speeches")
-    writer = speech.write.format("xml").option("maxRecordsPerFile", ROWS_PER_FILE)
+    path = scratch_path(spark, name)
+    writer = files(speech).format("xml")
     writer.option("rootTag", 'debate source="turns"').option("rowTag", "speech").save(path)
+    return path
+
+
+@query
+def speeches_file(spark, sf_dir):
+    path = _speeches_written(spark, sf_dir, "speeches", lambda df: df.write.option("maxRecordsPerFile", ROWS_PER_FILE))
     return speeches.promote_attributes(
         read_speeches(spark, path), ["source", "conv", "turn", "role"]
     ).select("source", "conv", "turn", "role", "data")
 
 
+@query
+def speeches_large_file(spark, sf_dir):
+    """All speeches in one file, parsed once as a stream; its attributes become columns unnamed."""
+    path = _speeches_written(spark, sf_dir, "speeches-large", lambda df: df.coalesce(1).write)
+    read = speeches.promote_all_attributes(read_speeches(spark, path, large_files=True))
+    return read.select("source", "conv", "turn", "role", "data")
+
+
 @query
 def table_sink(spark, sf_dir):
     values = regions.region_values(standins.trend_long(spark, sf_dir), "sum")

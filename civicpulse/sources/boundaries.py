@@ -9,6 +9,7 @@ from civicpulse.functions.fixed_values import CODE_PROPERTIES, NAME_PROPERTIES
 from civicpulse.functions.geometry import read_polygons
 from civicpulse.functions.labels import first_non_empty
 from civicpulse.sources.files import file_name
+from civicpulse.sources.large_geojson import read_large_features
 
 # Coordinates stay text until the geometry type is known: their depth depends on it.
 FEATURE_COLLECTION = (
@@ -18,12 +19,15 @@ FEATURE_COLLECTION = (
 
 
 def read_boundaries(
-    spark: SparkSession, path: str | list[str], multi_line: bool = True
+    spark: SparkSession, path: str | list[str], multi_line: bool = True, large_files: bool = False
 ) -> DataFrame:
     """One row per feature: its place in the file, properties, code, name and polygons.
 
-    With ``multi_line`` off, every line of a file is a feature collection of its own.
+    With ``multi_line`` off, every line of a file is a feature collection of its own. ``large_files`` reads
+    each file, one collection, by a task per block and never holds more than a feature.
     """
+    if large_files:
+        return with_polygons(read_large_features(spark, path))
     raw = spark.read.schema(FEATURE_COLLECTION).option("multiLine", multi_line).json(path)
     features = raw.select(
         file_name(),
