@@ -8,6 +8,7 @@ a per-key limit, so a topic with most of the rows is reduced before it is shuffl
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,31 +22,29 @@ from civicpulse.functions.fixed_values import (
     TREND_UNKNOWN,
     TREND_UP,
 )
-from civicpulse.functions.numbers import mean_of, round_to
+from civicpulse.functions.numbers import mean_of, packed, round_to, sortable
 from civicpulse.operators.topk import top_n
 
 
 def series_statistics(series: DataFrame, keys: Sequence[str] = ("topic",)) -> DataFrame:
-    """Unrounded statistics per topic: first and last date, mean, first peak, last value."""
+    """Unrounded statistics per topic: first and last date, mean, first peak, last value.
+
+    Of values that share the last date the largest counts. One hash aggregate does it: a task sends one
+    row per topic, whatever the values are, as value and date are ordered by a single packed number.
+    """
     value, date = F.col("value"), F.col("date")
-    # Rows are reduced to one per value before they are shuffled; all buffers have a fixed width.
-    by_value = series.groupBy(*keys, value.alias("value")).agg(
-        F.min(date).alias("first"), F.max(date).alias("last"), F.count("*").alias("n")
-    )
-    # Of values that share their last date the largest counts.
-    weight = F.when(value.isNotNull(), F.col("n"))
-    by_last = by_value.groupBy(*keys, "last").agg(
-        F.min("first").alias("first"), F.max(value).alias("top"), F.max_by("first", value).alias("top_first"),
-        F.sum(value * weight).alias("total"), F.sum(weight).alias("n"),
-    )
-    mean = F.try_divide(F.sum("total").cast("double"), F.sum("n").cast("double"))
-    return by_last.groupBy(*keys).agg(
-        F.min("first").alias("first_date"),
-        F.max("last").alias("last_date"),
-        mean.alias("average"),
-        F.max("top").cast("double").alias("peak"),
-        F.max_by("top_first", "top").alias("peak_date"),
-        F.max_by("top", "last").cast("double").alias("current"),
+    ordered = series.withColumn("_order", sortable(value, series.schema["value"].dataType))
+    order, day = F.col("_order"), F.unix_date(date)
+    earliest = packed(order, F.coalesce(F.lit(2**31) - day.cast("long"), F.lit(0)), 33)
+    above_none = order.cast("decimal(20,0)") + F.lit(Decimal(2**63))
+    latest = packed(day, F.coalesce(above_none, F.lit(Decimal(0))), 64)
+    return ordered.groupBy(*keys).agg(
+        F.min(date).alias("first_date"),
+        F.max(date).alias("last_date"),
+        mean_of(value).alias("average"),
+        F.max(value).cast("double").alias("peak"),
+        F.max_by(date, earliest).alias("peak_date"),
+        F.max_by(value, latest).cast("double").alias("current"),
     )
 
 

@@ -481,3 +481,11 @@ SELECT 'turns' AS source, conv_id::varchar AS conv, turn::varchar AS turn, role,
 FROM conversations""",
     "table_sink": f"WITH {TREND_LONG}, {VALUES_SUM} SELECT * FROM region_sums",
 }
+
+# Results that are merged from loads equal those of all rows.
+ORACLES |= {
+    "weekly_series_by_loads": ORACLES["weekly_series"],
+    "monthly_rollup_by_loads": ORACLES["monthly_rollup"],
+    "profile_by_loads": ORACLES["profile_trends"],
+    "staged_sink": ORACLES["table_sink"],
+}

@@ -25,6 +25,7 @@ from civicpulse.operators import (
     rollup,
     series,
     speeches,
+    states,
     topk,
 )
 from civicpulse.plans import reports, standins
@@ -34,6 +35,7 @@ from civicpulse.sources.boundaries import read_boundaries, with_polygons
 from civicpulse.sources.posts import read_posts
 from civicpulse.sources.sinks import write_table
 from civicpulse.sources.speeches import read_speeches
+from civicpulse.sources.staged import read_loads, stage, write_load
 from civicpulse.sources.trends import merge_trend_dir, read_counts, read_trend_long
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -258,11 +260,14 @@ def weekly_series_sparse(spark, sf_dir):
 
 @query
 def monthly_rollup(spark, sf_dir):
+    return rollup.monthly_rollup(_order_counts(spark, sf_dir))
+
+
+def _order_counts(spark, sf_dir):
     orders = standins.table(spark, sf_dir, "orders")
-    counts = orders.groupBy(
+    return orders.groupBy(
         F.col("o_orderpriority").alias("topic"), F.to_date("o_orderdate").alias("date")
     ).agg(F.count("*").alias("value"))
-    return rollup.monthly_rollup(counts)
 
 
 @query
@@ -628,3 +633,52 @@ def table_sink(spark, sf_dir):
     path = scratch_path(spark, "sink")
     write_table(values, path, "parquet", partition_by=["topic_name"])
     return spark.read.parquet(path)
+
+
+# Loads: the rows come in parts, and results are merged ---------------------------------------------
+
+# Bounds of the dates of three loads of orders.
+ORDER_LOADS = {"first": ("0001-01-01", "1993-12-31"), "second": ("1994-01-01", "1996-06-05"), "third": ("1996-06-06", "9999-12-31")}
+
+
+def _loads(df, bounds):
+    """The loads by name; the second one comes again at the end, as a run that is repeated does."""
+    parts = [(name, df.where(F.col("date").between(F.lit(low), F.lit(high)))) for name, (low, high) in bounds.items()]
+    return [*parts, parts[1]]
+
+
+@query
+def weekly_series_by_loads(spark, sf_dir):
+    path, keys = scratch_path(spark, "weekly-states"), ["topic_name", "region"]
+    for name, part in _loads(standins.trend_long(spark, sf_dir), ORDER_LOADS):
+        states.add_load(spark, path, name, states.weekly_states(part, keys))
+    return states.weekly_from_states(states.read_states(spark, path, keys), keys)
+
+
+@query
+def monthly_rollup_by_loads(spark, sf_dir):
+    path = scratch_path(spark, "monthly-states")
+    for name, part in _loads(_order_counts(spark, sf_dir), ORDER_LOADS):
+        states.add_load(spark, path, name, states.monthly_states(part))
+    return states.monthly_from_states(states.read_states(spark, path, ["topic"]))
+
+
+@query
+def profile_by_loads(spark, sf_dir):
+    """Few regions and topics, so the sketches are exact."""
+    path = scratch_path(spark, "profiles")
+    for name, part in _loads(standins.trend_long(spark, sf_dir), ORDER_LOADS):
+        write_load(states.profile_sketch(part), path, name)
+    return states.profile_from_sketches(read_loads(spark, path))
+
+
+@query
+def staged_sink(spark, sf_dir):
+    """Region values by loads; an attempt at one of them broke off before."""
+    path = scratch_path(spark, "staged")
+    values = regions.region_values(standins.trend_long(spark, sf_dir), "sum")
+    loads = _loads(values, ORDER_LOADS)
+    stage(loads[0][1], path, loads[0][0])
+    for name, part in loads:
+        write_load(part, path, name, partition_by=["topic_name"])
+    return read_loads(spark, path).drop("load")

@@ -1,0 +1,158 @@
+"""Results that grow by loads, and writes that break off or are repeated."""
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from civicpulse.functions.fixed_values import REGION_COLUMNS
+from civicpulse.operators import states
+from civicpulse.operators.profile import profile_trends
+from civicpulse.operators.rollup import monthly_rollup
+from civicpulse.operators.series import weekly_series
+from civicpulse.sources import staged
+
+KEYS = ["topic_name", "region"]
+TRENDS = "topic_name string, region string, date date, interest_value decimal(12,3)"
+
+
+def trends(spark, seed: int, first: int, last: int, rows: int = 300):
+    pick = random.Random(seed)
+
+    def day():
+        return None if pick.random() < 0.02 else dt.date(2024, 1, 1) + dt.timedelta(pick.randrange(first, last))
+
+    names = [*REGION_COLUMNS[:2], None]
+    values = [(pick.choice(["a", "b", None]), pick.choice(names), day(), pick.choice([None, 1.0, 2.5, 0.125])) for _ in range(rows)]
+    table = spark.createDataFrame(values, "topic_name string, region string, date date, interest_value double")
+    return table.withColumn("interest_value", F.col("interest_value").cast("decimal(12,3)"))
+
+
+def cells(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def files_of(path) -> dict:
+    return {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_weeks_by_loads_equal_the_full_run(spark, tmp_path, dense):
+    loads = {"a": trends(spark, 1, 0, 60), "b": trends(spark, 2, 50, 90), "c": trends(spark, 3, 200, 230), "d": trends(spark, 4, 55, 56, 20)}
+    whole = None
+    for name, load in loads.items():
+        states.add_load(spark, str(tmp_path / "s"), name, states.weekly_states(load, KEYS))
+        whole = load if whole is None else whole.union(load)
+    got = states.weekly_from_states(states.read_states(spark, str(tmp_path / "s"), KEYS), KEYS, dense)
+    # A series without dates has no weeks to fill in either way.
+    assert cells(got) == cells(weekly_series(whole, KEYS, dense))
+
+
+def test_a_load_rewrites_its_periods_only(spark, tmp_path):
+    path = tmp_path / "s"
+    states.add_load(spark, str(path), "long", states.weekly_states(trends(spark, 1, 0, 300).where("date IS NOT NULL"), KEYS))
+    before = files_of(path)
+    one_day = trends(spark, 2, 100, 101).where("date IS NOT NULL")
+    periods = states.add_load(spark, str(path), "day", states.weekly_states(one_day, KEYS))
+    after = files_of(path)
+    kept = {p for p in before if after.get(p) == before[p]}
+    assert periods == [dt.date(2024, 4, 14)]
+    assert {p.parent.name for p in set(after) - kept} == {"period=2024-04-14"} and len(kept) > 40
+
+
+def test_a_repeated_or_corrected_load_counts_once(spark, tmp_path):
+    path, first, second = str(tmp_path / "s"), trends(spark, 1, 0, 30), trends(spark, 2, 0, 60)
+    for name, load in (("a", first), ("b", second), ("b", second), ("a", first)):
+        states.add_load(spark, path, name, states.weekly_states(load, KEYS))
+    assert cells(states.weekly_from_states(states.read_states(spark, path, KEYS), KEYS)) == cells(weekly_series(first.union(second), KEYS))
+    corrected = trends(spark, 9, 400, 410)
+    states.add_load(spark, path, "b", states.weekly_states(corrected, KEYS))
+    assert cells(states.weekly_from_states(states.read_states(spark, path, KEYS), KEYS)) == cells(weekly_series(first.union(corrected), KEYS))
+    states.add_load(spark, path, "a", states.weekly_states(first.where("false"), KEYS))
+    assert cells(states.weekly_from_states(states.read_states(spark, path, KEYS), KEYS)) == cells(weekly_series(corrected, KEYS))
+
+
+def test_months_by_loads(spark, tmp_path):
+    counts = trends(spark, 5, 0, 200).select(F.col("topic_name").alias("topic"), "date", F.col("interest_value").alias("value"))
+    for day in range(3):
+        part = counts.where(F.pmod(F.xxhash64("date"), F.lit(3)) == day)
+        states.add_load(spark, str(tmp_path / "m"), str(day), states.monthly_states(part))
+    got = states.monthly_from_states(states.read_states(spark, str(tmp_path / "m"), ["topic"]))
+    assert cells(got) == cells(monthly_rollup(counts))
+
+
+def test_profiles_from_sketches(spark, tmp_path):
+    rows = spark.range(60_000).select(
+        (F.col("id") % 20_000).cast("string").alias("region"), (F.col("id") % 30).cast("string").alias("topic_name"),
+        F.date_from_unix_date((F.col("id") % 400).cast("int")).alias("date"),
+    )
+    for i in range(3):  # the loads share most regions
+        staged.write_load(states.profile_sketch(rows.where(F.col("id") % 4 != i)), str(tmp_path / "p"), str(i))
+    stored = staged.read_loads(spark, str(tmp_path / "p"))
+    assert stored.count() == 3
+    got, exact = states.profile_from_sketches(stored).first(), profile_trends(rows).first()
+    assert abs(got.n_regions / exact.n_regions - 1) < 0.05 and got.n_topics == 30
+    assert (got.first_date, got.last_date, got.n_rows) == (exact.first_date, exact.last_date, 3 * 45_000)
+    none = states.profile_from_sketches(states.profile_sketch(rows.where("false"))).first()
+    assert tuple(none) == (None, None, 0, 0, 0)
+
+
+def test_a_load_is_written_once(spark, tmp_path):
+    path, table = str(tmp_path / "t"), spark.range(1000).withColumn("k", F.col("id") % 3)
+    first = staged.write_load(table, path, "day/1", partition_by=["k"])
+    assert first["n_rows"] == 1000 and first["n_files"] >= 3 and first["n_bytes"] > 0
+    before = files_of(tmp_path)
+    assert staged.write_load(table.union(table), path, "day/1", partition_by=["k"]) == first
+    assert files_of(tmp_path) == before
+    staged.write_load(table.where("id < 10"), path, "day 2", partition_by=["k"])
+    assert staged.write_load(table.where("id < 0"), path, "none", partition_by=["k"])["n_rows"] == 0
+    assert cells(staged.read_loads(spark, path).groupBy("load").count()) == [("day 2", 10), ("day/1", 1000)]
+
+
+@pytest.mark.parametrize("broken", ["while writing", "before the commit", "in the commit", "after the commit"])
+def test_a_write_that_breaks_off_and_is_repeated(spark, tmp_path, monkeypatch, broken):
+    path, table = str(tmp_path / "t"), spark.range(100)
+    staged.write_load(table, path, "earlier")
+
+    def stop(*args):
+        raise KeyboardInterrupt
+
+    if broken == "while writing":
+        failing = table.withColumn("id", F.when(F.col("id") < 90, F.col("id")).otherwise(F.raise_error(F.lit("lost")).cast("long")))
+        with pytest.raises(Exception, match="lost"):
+            staged.write_load(failing.repartition(8), path, "x")
+    elif broken == "before the commit":
+        staged.stage(table, path, "x")
+    elif broken == "in the commit":
+        attempt = staged.stage(table, path, "x")
+        (tmp_path / "t" / "_manifests" / f"_{attempt['folder']}").write_text('{"load": "x", "fold')
+    else:
+        staged._commit(spark, path, staged.stage(table, path, "x"))
+    assert staged.read_loads(spark, path).count() == (200 if broken == "after the commit" else 100)
+    staged.write_load(table, path, "x")
+    assert cells(staged.read_loads(spark, path).groupBy("load").count()) == [("earlier", 100), ("x", 100)]
+
+
+def test_of_two_attempts_one_counts(spark, tmp_path, monkeypatch):
+    path, table = str(tmp_path / "t"), spark.range(100)
+    other, real = staged.stage(table, path, "x"), staged.stage
+
+    def late(*args):
+        staged._commit(spark, path, other)
+        return real(*args)
+
+    monkeypatch.setattr(staged, "stage", late)
+    assert staged.write_load(table, path, "x") == other
+    assert staged.read_loads(spark, path).count() == 100
+
+
+def test_lost_rows_are_noticed(spark, tmp_path):
+    path = tmp_path / "t"
+    staged.write_load(spark.range(0, 100, 1, 4), str(path), "x")
+    with pytest.raises(ValueError, match="no load"):
+        (tmp_path / "none" / "_manifests").mkdir(parents=True)
+        staged.read_loads(spark, str(tmp_path / "none"))
+    next(path.rglob("*.parquet")).unlink()
+    with pytest.raises(ValueError, match="should have 100 rows"):
+        staged.read_loads(spark, str(path))

@@ -1,9 +1,10 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from civicpulse.operators.news import dedupe_articles
-from civicpulse.operators.posts import top_posts
+from civicpulse.operators.posts import only_wanted, top_posts
 from civicpulse.operators.topk import keep_last, preview, top_queries, top_regions
 
 POSTS = (
@@ -85,3 +86,36 @@ def test_one_key_with_most_rows(spark):
     unique = dedupe_articles(hot.repartition(16))
     assert unique.count() == 6_667 + 1
     assert unique.filter("url = 'hot'").first().pos == 1
+
+
+def test_requests_prune_the_scan_and_nothing_else(spark, tmp_path):
+    days = F.date_add(F.lit("2025-01-01").cast("date"), (F.col("id") % 400).cast("int"))
+    stored = spark.range(8000).select(
+        F.concat(F.lit("t"), F.col("id") % 7).alias("topic"), days.cast("timestamp").alias("created_at"), days.alias("day"),
+        F.date_format(days, "MMMM yyyy").alias("month"), F.concat(F.lit("a"), "id").alias("author"), F.lit("x").alias("text"),
+        (F.col("id") % 50).alias("likes"), F.lit(0).alias("reposts"), F.lit(0).alias("replies"),
+    ).where("NOT (topic = 't3' AND day = '2025-03-05')")
+    stored.sortWithinPartitions("day").write.option("parquet.block.size", 20_000).parquet(str(tmp_path / "posts"))
+    posts = spark.read.parquet(str(tmp_path / "posts"))
+    day = spark.createDataFrame([("t3", dt.date(2025, 3, 5)), ("t4", dt.date(2025, 3, 5)), (None, None)], "topic string, day date")
+    found = top_posts(day, posts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Or(And(GreaterThanOrEqual(day,2025-03-05),LessThanOrEqual(day,2025-03-05))" in plan
+    levels = {(r.topic, r.match_level) for r in found.collect()}
+    assert levels == {("t3", "month"), ("t4", "day")}
+    near = only_wanted(posts, day).select("topic", "month").distinct().collect()
+    assert {(r.topic, r.month) for r in near} == {("t3", "March 2025"), ("t4", "March 2025")}
+
+
+@pytest.mark.parametrize("count", [0, 1, 40, 3000])
+def test_any_number_of_requests(spark, count):
+    """The wanted posts are all among those let through, however full the bitmaps are."""
+    posts = spark.range(20_000).select(
+        F.concat(F.lit("t"), F.col("id") % 997).alias("topic"), F.date_from_unix_date((F.col("id") % 700).cast("int")).alias("day")
+    ).withColumn("month", F.date_format("day", "MMMM yyyy"))
+    wanted = posts.select("topic", "day").distinct().orderBy(F.xxhash64("topic", "day")).limit(count)
+    by_day = posts.join(wanted, ["topic", "day"], "left_semi")
+    by_month = posts.join(wanted.select("topic", F.date_format("day", "MMMM yyyy").alias("month")).distinct(), ["topic", "month"], "left_semi")
+    let_through = only_wanted(posts, wanted)
+    assert by_day.unionByName(by_month).distinct().exceptAll(let_through.select("topic", "day", "month").distinct()).isEmpty()
+    assert let_through.count() <= (20_000 if count > 1 else 100 * count)

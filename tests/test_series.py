@@ -1,10 +1,15 @@
 import datetime as dt
+import math
+import random
+import struct
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from civicpulse.functions import dates
+from civicpulse.functions.numbers import sortable
 from civicpulse.operators.rollup import monthly_rollup, monthly_wide
 from civicpulse.operators.series import (
     annotate_events,
@@ -121,3 +126,49 @@ def test_times_with_and_without_offset(spark):
         ("2025-12-18 01:25", dt.date(2025, 12, 18)), ("2025-12-17 23:25", dt.date(2025, 12, 17)),
         ("2025-12-18 23:30", dt.date(2025, 12, 18)), (None, None),
     ]
+
+
+def test_numbers_order_by_whole_numbers(spark):
+    pick = random.Random(1)
+    values = [0.0, -0.0, math.inf, -math.inf, math.nan, 5e-324, 1.7976931348623157e308, None]
+    values += [struct.unpack("d", struct.pack("Q", pick.getrandbits(64)))[0] for _ in range(3000)]
+    values += [x for k in range(-1073, 1024, 3) for x in (2.0**k, math.nextafter(2.0**k, 0), -math.nextafter(2.0**k, math.inf))]
+    table = spark.createDataFrame([(v,) for v in values], "value double")
+    found = table.select("value", sortable(F.col("value"), T.DoubleType()).alias("order")).collect()
+
+    def binary(value: float) -> int:
+        size = 2047 * 2**52 + 1 if math.isnan(value) else struct.unpack("q", struct.pack("d", abs(value)))[0]
+        return -size if value < 0 else size
+
+    assert all(r.order == (None if r.value is None else binary(r.value)) for r in found)
+
+
+@pytest.mark.parametrize("kind", ["double", "long", "decimal(18,2)", "decimal(28,2)"])
+def test_statistics_of_ties_and_nulls(spark, kind):
+    """All rows differ in value or share one; against a plain version per topic."""
+    pick = random.Random(7)
+    rows = [("hot", pick.randrange(-10**9, 10**9), pick.randrange(4000)) for _ in range(5000)]
+    rows += [(t, pick.choice([None, 0, -3, 5, 5]), pick.choice([None, 1, 2, 3])) for t in ("a", "b", "c", None) for _ in range(12)]
+    rows += [("empty", None, 4), ("undated", 3, None), ("late", None, 9), ("late", 2, 8), ("both", None, 9), ("both", -2, 9), ("both", -7, 9)]
+    table = spark.createDataFrame(rows, "topic string, number long, day int")
+    series = table.select("topic", F.date_from_unix_date("day").alias("date"), F.col("number").cast(kind).alias("value"))
+    found = {r.topic: tuple(r)[1:] for r in series_statistics(series).collect()}
+    epoch = dt.date(1970, 1, 1)
+    for topic in {t for t, _, _ in rows}:
+        own = [(v, d) for t, v, d in rows if t == topic]
+        days, values = [d for _, d in own if d is not None], [v for v, _ in own if v is not None]
+        peak = max(values, default=None)
+        peak_days = [d for v, d in own if v == peak and v is not None and d is not None]
+        last = [v for v, d in own if days and d == max(days) and v is not None]
+        expected = [
+            epoch + dt.timedelta(min(days)) if days else None, epoch + dt.timedelta(max(days)) if days else None,
+            pytest.approx(sum(values) / len(values)) if values else None, None if peak is None else float(peak),
+            epoch + dt.timedelta(min(peak_days)) if peak_days else None, float(max(last)) if last else None,
+        ]
+        assert list(found[topic]) == expected, topic
+
+
+def test_statistics_take_one_exchange(spark):
+    series = spark.range(100).select((F.col("id") % 3).alias("topic"), F.date_from_unix_date(F.col("id").cast("int")).alias("date"), F.rand().alias("value"))
+    plan = series_statistics(series)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan and "partial_max_by" in plan
