@@ -1,4 +1,10 @@
-"""Removal of repeated passages by prefix-partitioned suffix trees over words."""
+"""Removal of repeated passages by prefix-partitioned suffix trees over words.
+
+Suffixes are grouped by variable-length prefixes that end in an anchor. Neighbours with one anchor travel as one
+stretch of text, so a task that gets a group has the words themselves: it numbers them exactly, sorts the suffixes
+as words, and finds the internal nodes of its subtrees from what neighbours have in common. Hashes only choose
+which suffixes can have a partner and where they go; two different words are never taken for one.
+"""
 
 from __future__ import annotations
 
@@ -12,14 +18,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicpulse.llm.common import Words, chunks, groups_of, keyed_rows, mixed
+from civicpulse.llm.common import Words, chunks, groups_of, keyed_rows
+from civicpulse.sources.blocks import in_blocks
 
 #: Words of a window; a subtree's internal nodes of this depth are repeats.
 WINDOW = 35
 #: Words of an anchor, by which the prefixes of suffixes are chosen.
-ANCHOR = 16
-#: A group whose anchor occurs more often than this is cut by longer prefixes.
-GROUP = 50_000
+ANCHOR = 12
+#: A group whose anchor occurs more often than this is cut by longer prefixes: by whole windows.
+GROUP = 10_000
 
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -52,16 +59,6 @@ def anchors(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return smallest, inside, np.sort(grams)
 
 
-def prefixes(words: Words, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Hashes of the first ``size`` words from each place; sizes differ."""
-    out = np.zeros(len(at), np.uint64)
-    for n in np.unique(size):
-        spot, grams = words.grams(int(n))
-        own = size == n
-        out[own] = grams[np.searchsorted(spot, at[own])]
-    return out
-
-
 def _dealt(names: list[str], part: int, bucket: np.ndarray, values: list[np.ndarray]) -> pa.Table:
     """One row per bucket: bucket, part, and the bucket's values as bytes."""
     order = np.argsort(bucket, kind="stable")
@@ -82,20 +79,20 @@ def _joined(tables: list[pa.Table], schema: pa.Schema) -> pa.Table:
 
 
 def _schema(text: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
     return pa.schema([(n, kinds[k]) for n, k in (f.split() for f in text.split(", "))])
 
 
 ANCHORS = "bucket int, part int, anchors binary, counts binary"
 FREQUENT = "part int, anchors binary, totals binary"
-SUFFIXES = "bucket int, part int, prefixes binary, leaves binary, counts binary"
-REPEATS = "part int, leaves binary"
+SUFFIXES = "prefix long, single boolean, part int, start long, text binary"
+REPEATS = "part int, runs binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def _part_chunks(table: pa.Table) -> Iterator[Words]:
     """The words of a part, in chunks, in an order that only its rows' contents decide."""
-    ordered = table.take(pc.sort_indices(table, [("key", "ascending"), ("doc_id", "ascending")]))
+    ordered = table.take(pc.sort_indices(table, [(c, "ascending") for c in ("key", "doc_id", "text")]))
     for texts in chunks(iter(ordered.combine_chunks().to_batches())):
         words = texts.words()
         words.columns, words.raw, words.bounds = texts.columns, texts.data, texts.bounds
@@ -143,79 +140,147 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _per_part(batch, row[keep], [value[keep], np.minimum(total[keep], 2**32 - 1).astype("<u4")], ["part", "anchors", "totals"])
 
 
-def _part_suffixes(buckets: int):
-    def found(table: pa.Table, frequent: pa.Table) -> pa.Table:
-        """The suffixes whose anchor recurs, each in the group of its prefix.
+def _stretches(words: Words, known: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows whose anchor recurs: prefix, whether it is a whole window, first window and their number.
 
-        A suffix's prefix ends with its anchor; if that occurs very often, the prefix is the window.
-        A window that the part holds several times is sent once.
-        """
-        if not table.num_rows or not frequent.num_rows:
-            return _schema(SUFFIXES).empty_table()
-        part, out = table.column("part")[0].as_py(), []
-        known = np.frombuffer(b"".join(frequent.column("anchors").to_pylist()), "<u8")
-        totals = np.frombuffer(b"".join(frequent.column("totals").to_pylist()), "<u4")
-        order = np.argsort(known)
-        known, totals = known[order], totals[order]
-        for words in _part_chunks(table):
-            at, leaf = windows(words)
-            smallest, inside, _ = anchors(words, at)
-            spot = np.minimum(np.searchsorted(known, smallest), len(known) - 1)
-            keep = known[spot] == smallest
-            at, leaf, inside, spot = at[keep], leaf[keep], inside[keep], spot[keep]
-            leaf, first, times = np.unique(leaf, return_index=True, return_counts=True)
-            size = np.where(totals[spot[first]] > GROUP, WINDOW, inside[first] + ANCHOR)
-            prefix = prefixes(words, at[first], size)
-            bucket = (mixed(prefix) % np.uint64(buckets)).astype(np.int64)
-            out.append(_dealt(
-                ["bucket", "part", "prefixes", "leaves", "counts"], part, bucket,
-                [prefix, leaf, np.minimum(times, 2).astype("u1")],
-            ))
-        return _joined(out, _schema(SUFFIXES))
+    A run's windows have one anchor at one place; where the anchor is very frequent, a run is one window.
+    """
+    at, window = windows(words)
+    smallest, inside, _ = anchors(words, at)
+    spot = np.minimum(np.searchsorted(known, smallest), len(known) - 1)
+    keep = known[spot] == smallest
+    at, window, smallest, place, single = at[keep], window[keep], smallest[keep], (at + inside)[keep], totals[spot[keep]] > GROUP
+    begins = np.ones(len(at), bool)
+    begins[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1) | single[1:]
+    first = np.flatnonzero(begins)
+    return np.where(single, window, smallest)[first], single[first], at[first], np.diff(np.append(first, len(at)))
 
-    return found
+
+def _packed(runs: list[tuple[int, int]]) -> bytes:
+    """Runs of windows, first and number each."""
+    return np.array(runs, "<i8").tobytes()
 
 
-def repeated_leaves(prefix: np.ndarray, leaf: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Which suffixes hang below an internal node of window depth.
+def _part_suffixes(table: pa.Table, frequent: pa.Table) -> pa.Table:
+    """The suffixes of a part whose anchor recurs, each in the group of its prefix, as stretches of text.
 
-    The suffixes of a group in the order of a depth-first walk: by prefix, then by the window that
-    goes on from it. Neighbours with all of a window in common share such a node.
+    A stretch that the part holds several times is sent once; that its windows are repeats is known then,
+    and goes along as a row without a text of its own, with the runs in its place (start is -1).
     """
-    order = np.lexsort((leaf, prefix))
-    node = np.ones(len(order), bool)
-    node[1:] = (prefix[order][1:] != prefix[order][:-1]) | (leaf[order][1:] != leaf[order][:-1])
-    number = np.cumsum(node) - 1
-    below = np.bincount(number, weights=times[order])
-    out = np.zeros(len(order), bool)
-    out[order] = below[number] > 1
-    return out
+    if not table.num_rows or not frequent.num_rows:
+        return _schema(SUFFIXES).empty_table()
+    part = table.column("part")[0].as_py()
+    known = np.frombuffer(b"".join(frequent.column("anchors").to_pylist()), "<u8")
+    totals = np.frombuffer(b"".join(frequent.column("totals").to_pylist()), "<u4")
+    order = np.argsort(known)
+    known, totals = known[order], totals[order]
+    sent: dict[bytes, list] = {}
+    own: list[tuple[int, int]] = []
+    before = 0
+    for words in _part_chunks(table):
+        prefix, single, first, number = _stretches(words, known, totals)
+        raw = words.raw.tobytes()
+        begin, end = words.begin[first], words.end[first + number + WINDOW - 2]
+        columns = (c.tolist() for c in (prefix.view(np.int64), single, first + before, number, begin, end))
+        for name, alone, start, count, a, b in zip(*columns):
+            text = raw[a:b]
+            row = sent.setdefault(text, [name, alone, start, 0])
+            if row[3] == 1:
+                own.append((row[2], count))
+            if row[3]:
+                own.append((start, count))
+            row[3] += 1
+        before += len(words.hash)
+    rows = [(name, alone, part, start, text) for text, (name, alone, start, _) in sent.items()]
+    if own:
+        rows.append((part, True, part, -1, _packed(own)))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _schema(SUFFIXES))], schema=_schema(SUFFIXES)) if rows else _schema(SUFFIXES).empty_table()
+
+
+def deep_nodes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For stretches of words: the stretch and place of each suffix, and whether a node of window depth is above it.
+
+    The words are numbered, so equal numbers are equal words. Sorted, the suffixes are in the order of a walk
+    through their trees: the words that neighbours have in common are the depth of the node between them.
+    """
+    split = [t.split() for t in texts]
+    sizes = np.array([len(w) for w in split], np.int64)
+    number = pa.array([w for own in split for w in own], pa.large_binary()).dictionary_encode().indices.to_numpy().astype(">i4")
+    each = np.maximum(sizes - WINDOW + 1, 0)
+    row = np.repeat(np.arange(len(texts)), each)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+    suffix = np.ascontiguousarray(number[((np.cumsum(sizes) - sizes)[row] + place)[:, None] + np.arange(WINDOW)])
+    order = np.argsort(suffix.view(f"S{4 * WINDOW}").ravel()) if len(row) else row
+    differs = suffix[order][1:] != suffix[order][:-1]
+    common = np.where(differs.any(axis=1), differs.argmax(axis=1), WINDOW)
+    deep = common >= WINDOW
+    below = np.zeros(len(row), bool)
+    below[order[1:]] |= deep
+    below[order[:-1]] |= deep
+    return row, place, below
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket the subtrees of its groups; the windows of their deep nodes go back to the parts."""
-    for batch in groups_of("bucket", batches):
-        prefix, row = _column(batch, "prefixes", "<u8")
-        leaf, _ = _column(batch, "leaves", "<u8")
-        times, _ = _column(batch, "counts", "u1")
-        if len(prefix):
-            keep = repeated_leaves(prefix, leaf, times)
-            yield _per_part(batch, row[keep], [leaf[keep]], ["part", "leaves"])
+    """The windows below deep nodes, as runs for the parts that have them, from rows sorted by single and prefix."""
+    for (single,), own in in_blocks(batches, "single"):
+        if single:
+            yield from _equal_windows(own)
+            continue
+        for batch in groups_of("prefix", own):
+            row, place, below = deep_nodes(batch.column("text").to_pylist())
+            row, place = row[below], place[below]
+            begins = np.ones(len(row), bool)
+            begins[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
+            first = np.flatnonzero(begins)
+            starts = np.asarray(batch.column("start"))[row[first]] + place[first]
+            yield _replies(np.asarray(batch.column("part"))[row[first]], starts, np.diff(np.append(first, len(row))))
+
+
+def _equal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same for groups whose prefix is a whole window, however many parts have it: a leaf is held per text."""
+    name, leaves = None, {}
+    for batch in batches:
+        found, plain = [], []
+        for prefix, part, start, text in zip(*(batch.column(c).to_pylist() for c in ("prefix", "part", "start", "text"))):
+            if start < 0:
+                plain.append((part, text))
+                continue
+            if prefix != name:
+                name, leaves = prefix, {}
+            leaf = leaves.setdefault(b" ".join(text.split()), [part, start, False])
+            if leaf[:2] != [part, start]:
+                found += [(part, start)] if leaf[2] else [(part, start), tuple(leaf[:2])]
+                leaf[2] = True
+        if found:
+            parts, starts = (np.array(c, np.int64) for c in zip(*found))
+            yield _replies(parts, starts, np.ones(len(parts), np.int64))
+        if plain:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*plain), _schema(REPEATS))], schema=_schema(REPEATS))
+
+
+def _replies(part: np.ndarray, start: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+    """A row per part with its runs."""
+    order = np.argsort(part, kind="stable")
+    part, runs = part[order], np.stack([start[order], number[order]], axis=1).astype("<i8")
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    ends = np.append(first[1:], len(part))
+    packed = [runs[a:b].tobytes() for a, b in zip(first, ends)]
+    return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array(packed, pa.binary())], schema=_schema(REPEATS))
 
 
 def _without(table: pa.Table, repeats: pa.Table) -> pa.Table:
     """Per document of a part, what is left without the words of repeated windows."""
-    known = np.sort(np.frombuffer(b"".join(repeats.column("leaves").to_pylist()), "<u8"))
+    runs = np.frombuffer(b"".join(repeats.column("runs").to_pylist()), "<i8").reshape(-1, 2)
+    runs = runs[np.argsort(runs[:, 0])]
     out: tuple[list, list, list, list] = ([], [], [], [])
+    before = 0
     for words in _part_chunks(table) if table.num_rows else ():
-        at, leaf = windows(words)
         count = len(words.hash)
+        low, high = np.searchsorted(runs[:, 0], [before, before + count])
         change = np.zeros(count + 1, np.int64)
-        if len(known) and len(at):
-            spot = np.minimum(np.searchsorted(known, leaf), len(known) - 1)
-            at = at[known[spot] == leaf]
-            np.add.at(change, at, 1)
-            np.add.at(change, at + WINDOW, -1)
+        np.add.at(change, runs[low:high, 0] - before, 1)
+        np.add.at(change, runs[low:high, 0] + runs[low:high, 1] - 1 + WINDOW - before, -1)
+        before += count
         kept = np.cumsum(change[:-1]) == 0
         raw = words.raw.tobytes()
         removed = np.concatenate([[0], np.cumsum(~kept)])
@@ -241,10 +306,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Documents are dealt to parts once; all passes read that exchange. The first pass counts anchors,
     the smallest hashes of ANCHOR words in each window, since only a suffix whose anchor recurs can
     have a deep node above it. Those suffixes are grouped by variable-length prefixes, up to and
-    with the anchor, or the whole window where the anchor is very frequent; groups are hashed to
-    buckets whose number grows with the input. Each bucket walks its subtrees in order, and windows
-    of nodes with several suffixes go back to the parts. A part sends a window once however often it
-    holds it, so no window is gathered. Words are compared by 64-bit hashes, suffixes by two.
+    with the anchor, or the whole window where the anchor is very frequent, and travel as text.
+    Each group's suffixes are sorted as words, and the windows below nodes of window depth go back to
+    the parts by their places. A part sends a stretch of words once however often it holds it, and
+    a group by whole windows is a stream, so no window is gathered however many documents have it.
     """
     spark = docs.sparkSession
     rows = keyed_rows(docs)
@@ -259,8 +324,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
     frequent = in_buckets(by_part.applyInArrow(_part_anchors(buckets), ANCHORS)).mapInArrow(_recurring, FREQUENT)
-    suffixes = by_part.cogroup(frequent.groupBy("part")).applyInArrow(_part_suffixes(buckets), SUFFIXES)
-    repeats = in_buckets(suffixes).mapInArrow(_subtrees, REPEATS)
+    suffixes = by_part.cogroup(frequent.groupBy("part")).applyInArrow(_part_suffixes, SUFFIXES)
+    grouped = suffixes.repartition(buckets, "prefix").sortWithinPartitions("single", "prefix")
+    repeats = grouped.mapInArrow(_subtrees, REPEATS)
     return by_part.cogroup(repeats.groupBy("part")).applyInArrow(_without, RESULT)
 
 
