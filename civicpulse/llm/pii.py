@@ -22,8 +22,6 @@ EXPRESSIONS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A character that a text with such a match has.
-_NEEDED = {"email": "@", "ip": ".", "phone": "+"}
 #: Words with a digit may be identifiers; ends of punctuation don't belong to them.
 TOKEN = r"(?<!\S)(?=[^\s0-9]*+[0-9])\S++"
 #: Two such words or more of digits, dots, hyphens and brackets, one beside the other, are one candidate.
@@ -35,6 +33,11 @@ MAIL = (
     rf"(?<!{_LOCAL}){_LOCAL}++(?:{_OPENS}(?i:at){_CLOSES}|\uFF20)"
     rf"[A-Za-z0-9-]++(?:(?:\.|{_OPENS}(?i:dot){_CLOSES})[A-Za-z0-9-]++)++"
 )
+#: What a text with such a match has; most texts have none of it, and one look for the first spares them the search.
+_NEEDED = {
+    "email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "token": "[0-9]", "run": "[0-9]",
+    "mail": r"(?i)[(\[{<]\x20?at\x20?[)\]}>]|\uFF20",
+}
 _BEFORE = r"""^[("'<\[{]+"""
 #: A run keeps the bracket of an area code.
 _BEFORE_RUN = r"""^(?:["'<\[{]|\((?![0-9]++\)))+"""
@@ -100,9 +103,12 @@ def _spans(pieces: Column, found: Column) -> Column:
 
 
 def context(gap: Column) -> Column:
-    """The last two words of the text before a match, in lower case; blank where there are fewer."""
-    near = F.lower(F.regexp_extract(F.substring(F.concat(F.lit(" "), gap), -80, 80), r"(?:(\S+)\s+)?(\S+)\s*$", 0))
-    return F.trim(F.regexp_replace(near, r"\s+", " "))
+    """The last two words of the text before a match, in lower case; blank where there are fewer.
+
+    Looked for from the back, so that it costs a look per character however far away a word begins.
+    """
+    near = F.reverse(F.regexp_extract(F.reverse(gap), r"^\s*+(?:\S++(?:\s++\S++)?+)?+", 0))
+    return F.trim(F.regexp_replace(F.lower(near), r"\s+", " "))
 
 
 def luhn(digits: Column) -> Column:
@@ -148,10 +154,9 @@ def _of_kind(number: int, spans: str, *fields: str) -> Column:
 _SPAN = "array<struct<start:bigint,end:bigint,value:string,context:string>>"
 
 
-def _found(text: Column, expression: str, needed: str | None) -> Column:
+def _found(text: Column, expression: str, needed: str) -> Column:
     """All matches; texts that can't have one aren't searched."""
-    found = _matches(text, expression)
-    return F.when(F.contains(text, F.lit(needed)), found) if needed else found
+    return F.when(text.rlike(needed), _matches(text, expression))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -159,7 +164,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     rows = keyed_rows(docs)
     searched = {**EXPRESSIONS, "token": TOKEN, "run": RUN, "mail": MAIL}
     for kind, expression in searched.items():
-        rows = rows.withColumn(f"{kind}_found", _found(F.col("text"), expression, _NEEDED.get(kind)))
+        rows = rows.withColumn(f"{kind}_found", _found(F.col("text"), expression, _NEEDED[kind]))
     for kind, expression in searched.items():
         found = F.col(f"{kind}_found")
         pieces = F.split("text", expression, -1)
@@ -195,15 +200,18 @@ def _mentions(found: DataFrame) -> DataFrame:
     more = [_trimmed("token", OPEN, _BEFORE), _trimmed("run", run, _BEFORE_RUN), _of_kind(OPEN_MAIL, "mail", "start", "end", "value", "context")]
     rows = found.select("doc_id", "key", F.explode(F.concat(*parts, *more)).alias("m")).select("doc_id", "key", "m.*").distinct()
     base = F.col("kind") < len(KINDS)
-    in_row = Window.partitionBy("doc_id", "key").orderBy("start", "kind", "end")
-    before = F.max(F.when(base, F.col("end"))).over(in_row.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(base, F.col("start"))).over(in_row.rowsBetween(0, Window.unboundedFollowing))
+    # What follows is looked at in falling order: such a frame only grows, so a row is looked at once.
+    places = [F.col(c) for c in ("start", "kind", "end")]
+    rising, falling = (Window.partitionBy("doc_id", "key").orderBy(*order) for order in (places, [c.desc() for c in places]))
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    before = F.max(F.when(base, F.col("end"))).over(rising.rowsBetween(*so_far))
+    after = F.min(F.when(base, F.col("start"))).over(falling.rowsBetween(*so_far))
     clear = (F.coalesce(before, F.lit(0)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
     rows = rows.withColumn("clear", base | clear).where("clear").drop("clear")
-    by_start = Window.partitionBy("doc_id", "key").orderBy("start")
-    until = F.max(F.when(F.col("kind") > OPEN, F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0))
+    up, down = (Window.partitionBy("doc_id", "key").orderBy(c) for c in (F.col("start"), F.col("start").desc()))
+    until = F.max(F.when(F.col("kind") > OPEN, F.col("end"))).over(up.rangeBetween(*so_far))
     # A word may begin in an address's bracket, so its end counts too.
-    since = F.min(F.when(F.col("kind") > OPEN, F.col("start"))).over(by_start.rangeBetween(0, Window.unboundedFollowing))
+    since = F.min(F.when(F.col("kind") > OPEN, F.col("start"))).over(down.rangeBetween(*so_far))
     inside = (F.coalesce(until, F.lit(0)) > F.col("start")) | (F.coalesce(since, F.col("end")) < F.col("end"))
     rows = rows.withColumn("inside", (F.col("kind") == OPEN) & inside).where("not inside").drop("inside")
     return rows.withColumn("kind", F.when(F.col("kind") == run, OPEN).otherwise(F.col("kind")))
@@ -292,12 +300,12 @@ def masked(docs: DataFrame) -> DataFrame:
 
     Spans that overlap are replaced together, under the first one's kind. A null text stays null.
     """
-    key, number, spans = (fresh(docs.columns, n) for n in ("key", "number", "spans"))
+    key, number, spans, of, same = (fresh(docs.columns, n) for n in ("key", "number", "spans", "_of", "_with"))
     found = personal_data(docs).where(F.size("all_spans") > 0).select(
-        F.col("doc_id").alias("_of"), F.col("key").alias("_with"), F.col("all_spans").alias(spans)
-    ).dropDuplicates(["_of", "_with"])
+        F.col("doc_id").alias(of), F.col("key").alias(same), F.col("all_spans").alias(spans)
+    ).dropDuplicates([of, same])
     named = docs.withColumns({key: F.xxhash64(F.coalesce("text", F.lit(""))), number: F.col("doc_id").cast("long")})
-    joined = named.join(found, named[number].eqNullSafe(found["_of"]) & (named[key] == found["_with"]), "left")
+    joined = named.join(found, named[number].eqNullSafe(found[of]) & (named[key] == found[same]), "left")
     text, names = F.col("text"), F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))

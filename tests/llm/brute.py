@@ -87,18 +87,33 @@ def overlaps(text: str | None, item: str) -> bool:
     d, q = folded(text), folded(item)
     least = min(13, len(q))
     for shift in range(-len(q) + 1, len(d)):
-        equal = [d[shift + i] == q[i] if 0 <= shift + i < len(d) else None for i in range(len(q))]
-        spots = [i for i, e in enumerate(equal) if e is not None]
-        if not spots:
-            continue
-        best, sums = (0, 0, 0), 0
-        for a in range(spots[0], spots[-1] + 1):
-            score = 0
-            for b in range(a, spots[-1] + 1):
-                score += 1 if equal[b] else -2
-                if score > best[0]:
-                    best = (score, a, b + 1)
-        _, a, b = best
-        if b - a >= least and sum(bool(e) for e in equal[a:b]) >= 0.8 * (b - a):
-            return True
+        equal = [d[shift + i] == q[i] for i in range(len(q)) if 0 <= shift + i < len(d)]
+        sums = [0]
+        for e in equal:
+            sums.append(sums[-1] + e)
+        for a in range(len(equal) - least + 1):
+            if any(5 * (sums[b] - sums[a]) >= 4 * (b - a) for b in range(a + least, len(equal) + 1)):
+                return True
     return False
+
+
+def scored(edges: list[tuple[str, str, int]], kinds: int = 4, rounds: int = 3) -> dict:
+    """Confidence by (pattern, kind) after turns of votes, from (pattern, value, kind) with open kinds from ``kinds``."""
+    sizes = Counter(p for p, _, _ in edges)
+    votes = [(p, v, k, 1.0) for p, v, k in edges if k < kinds]
+    unknown = [(p, v, k) for p, v, k in edges if k >= kinds]
+    for turn in range(rounds):
+        weight, count = defaultdict(float), Counter()
+        for p, _, k, score in votes:
+            weight[p, k] += score
+            count[p, k] += 1
+        sure = {pk: weight[pk] / (sizes[pk[0]] + 1) for pk in weight if count[pk] >= 3}
+        if turn == rounds - 1:
+            return sure
+        wrong = {}
+        for p, v, k in unknown:
+            for (q, kind), share in sure.items():
+                if q == p and share >= 0.5 and (k == kinds or kind == 0):
+                    wrong[v, kind] = wrong.get((v, kind), 1.0) * (1 - share)
+        votes = [(p, v, k, 1.0) for p, v, k in edges if k < kinds]
+        votes += [(p, v, kind, 1 - w) for p, v, _ in unknown for (u, kind), w in wrong.items() if u == v]

@@ -1,0 +1,75 @@
+"""Repeated passages against brute force, where words, anchors and groups are alike."""
+
+import random
+
+import numpy as np
+import pytest
+from brute import without_repeats
+
+from civicpulse.llm import repeats
+from civicpulse.llm.common import Texts, start
+
+
+@pytest.fixture(scope="module", autouse=True)
+def prepared(spark):
+    start(spark)
+
+
+def removed(spark, texts):
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [tuple(r)[1:] for r in repeats.remove_repeats(table).orderBy("doc_id").collect()]
+
+
+def alike() -> tuple[str, str]:
+    """Two words that polynomial hashes modulo 2^64 can't tell apart."""
+    letters = ["a" if bin(i).count("1") % 2 else "b" for i in range(1024)]
+    return "".join(letters), "".join("ab"[c == "a"] for c in letters)
+
+
+@pytest.mark.parametrize("group", [1, 10_000])
+def test_words_of_equal_hash_are_different_words(spark, monkeypatch, group):
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "GROUP", group)
+    one, other = alike()
+    hashes = Texts(pa.array([one, other]), {}).words().hash
+    assert one != other and hashes[0] == hashes[1]
+    rest = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rest[:20] + [word] + rest[20:]) for word in (one, other, one)]
+    assert removed(spark, texts[:2]) == [(41, 0, r[2]) for r in without_repeats(texts[:2])]
+    assert removed(spark, texts) == without_repeats(texts)
+
+
+@pytest.mark.parametrize("group", [1, 20, 10_000])
+@pytest.mark.parametrize("words", [["x"], ["a", "b", "c"], [f"w{i}" for i in range(40)]])
+def test_random_texts_of_few_words(spark, monkeypatch, group, words):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    pick = random.Random(len(words) * group)
+    passages = [[pick.choice(words) for _ in range(pick.randrange(30, 90))] for _ in range(6)]
+
+    def text() -> str:
+        parts = [pick.choice(passages)[pick.randrange(10) :] if pick.random() < 0.5 else [pick.choice(words) for _ in range(pick.randrange(60))] for _ in range(4)]
+        return pick.choice([" ", "  ", "\n"]).join(w for part in parts for w in part)
+
+    texts = [text() for _ in range(60)] + ["", None, " ".join(words[:1] * 35)]
+    assert removed(spark, texts) == without_repeats(texts)
+
+
+@pytest.mark.parametrize("group", [50, 10_000])
+def test_a_passage_that_a_third_of_all_texts_hold(spark, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    passage = " ".join(f"p{i}" for i in range(50))
+    texts = [f"own{i} {passage} end{i}" if i % 3 == 0 else " ".join(f"u{i}_{j}" for j in range(40)) for i in range(900)]
+    assert removed(spark, texts) == without_repeats(texts)
+
+
+def test_nodes_of_a_group():
+    """Suffixes below a node of window depth, against all pairs of windows."""
+    pick = random.Random(5)
+    texts = [" ".join(pick.choice("ab") * 1 if pick.random() < 0.1 else "a" for _ in range(pick.randrange(30, 50))).encode() for _ in range(40)]
+    row, place, below = repeats.deep_nodes(texts)
+    windows = [tuple(texts[r].split()[p : p + repeats.WINDOW]) for r, p in zip(row, place)]
+    assert len(windows) == sum(max(0, len(t.split()) - repeats.WINDOW + 1) for t in texts)
+    assert below.tolist() == [windows.count(w) > 1 for w in windows]
+    assert [len(a) for a in repeats.deep_nodes([b"too few words"])] == [0, 0, 0]
+    assert np.array_equal(repeats.deep_nodes([])[0], [])
