@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicpulse.llm.common import Words, chunks, fresh, groups_of, keyed_rows, mixed, signed
-from civicpulse.llm.components import components, narrowed
+from civicpulse.llm.components import beside, components, narrowed
 
 WORDS = 5
 #: Similarity from which documents are linked, as a fraction: 4 / 5.
@@ -26,15 +26,26 @@ BUCKET = 1000
 BLOCK = 256
 #: Splits of a bucket that stays larger; after them it is compared block by block.
 DEPTH = 3
-#: Share of equal samples from which a pair is verified: five standard deviations below 0.8.
-PROMISING = 0.55
+#: Paths that a bucket goes on along when it is split.
+PATHS = 2
+#: Equal samples from which a pair is verified; a linked pair has fewer with a chance of 1e-7.
+PROMISING = 33
 
 _FACTORS = mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+def survival(depth: int = DEPTH) -> float:
+    """Chance that a pair at the threshold meets in one run, its bucket being split ``depth`` times.
+
+    It agrees in the first token, and at each split in the token of one of PATHS paths.
+    """
+    alike = SIMILAR[0] / SIMILAR[1]
+    return alike * (1 - (1 - alike) ** PATHS) ** depth
+
+
 def runs(recall: float = RECALL) -> int:
-    """Repetitions after which a pair at the threshold has met with the given chance."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - SIMILAR[0] / SIMILAR[1]))
+    """Repetitions after which a pair at the threshold has met with the given chance, however large its buckets are."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival()))
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -92,24 +103,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _split(count: int):
     """From rows with samples to buckets: the first token of each run, or the next of a bucket's path.
 
-    A bucket's path hash decides which sample splits it, and for a quarter of the buckets a second
-    one does too, so that a linked pair goes on along one path on average.
+    A bucket's path hash decides which samples split it, one per path.
     """
     def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             samples, ids = _matrix(batch.column("samples")), np.asarray(batch.column("set_id"))
             if "bucket" not in batch.schema.names:
                 paths = [(np.full(len(ids), run, np.uint64), np.full(len(ids), run)) for run in range(count)]
-                wanted = [np.ones(len(ids), bool)] * count
             else:
                 path = mixed(np.asarray(batch.column("bucket")).view(np.uint64))
-                paths = [(path, (path % np.uint64(SAMPLES)).astype(np.int64)),
-                         (path ^ np.uint64(1), (path // np.uint64(SAMPLES) % np.uint64(SAMPLES)).astype(np.int64))]
-                wanted = [np.ones(len(ids), bool), path >> np.uint64(62) == 0]
-            for (path, token), use in zip(paths, wanted):
+                step = path // np.uint64(SAMPLES) % np.uint64(SAMPLES - 1) + np.uint64(1)
+                paths = [(path ^ np.uint64(i), ((path + np.uint64(i) * step) % np.uint64(SAMPLES)).astype(np.int64)) for i in range(PATHS)]
+            for path, token in paths:
                 value = samples[np.arange(len(ids)), token].astype(np.uint64)
                 bucket = mixed(mixed(path + np.uint64(0x2545F491)) + value)
-                yield pa.RecordBatch.from_arrays([signed(bucket[use]), pa.array(ids[use])], ["bucket", "set_id"])
+                yield pa.RecordBatch.from_arrays([signed(bucket), pa.array(ids)], ["bucket", "set_id"])
 
     return divided
 
@@ -150,7 +158,7 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             high = max(low + 1, int(np.searchsorted(total, total[low] + 200_000, "right")) - 1)
             left = np.repeat(np.arange(low, high), after[low:high])
             right = left + 1 + np.arange(len(left)) - np.repeat(total[low:high] - total[low], after[low:high])
-            alike = (samples[left] == samples[right]).mean(1) >= PROMISING if len(left) else np.zeros(0, bool)
+            alike = (samples[left] == samples[right]).sum(1) >= PROMISING if len(left) else np.zeros(0, bool)
             links.append((left[alike], right[alike]))
             low = high
         left, right = (np.concatenate([link[i] for link in links]) for i in (0, 1))
@@ -300,7 +308,7 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     ).checkpoint()
     clusters = components(_candidates(sets, recall))
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    members = clusters.join(sizes, "root").select(F.col("vertex").alias("set_id"), F.col("root").alias("cluster"), "n").join(
+    members = beside(clusters, sizes, "root").select(F.col("vertex").alias("set_id"), F.col("root").alias("cluster"), "n").join(
         sets.select("set_id", "rep", "copies"), "set_id"
     )
     exact = _verified(rows, members).checkpoint()
@@ -311,7 +319,7 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         .withColumn("root", F.coalesce("root", "set_id")).checkpoint()
     )
     named = placed.groupBy("root").agg(F.min("first").alias("class_id"), F.min("rep").alias("class_rep"))
-    by_set = placed.join(named, "root").select(
+    by_set = beside(placed, named, "root").select(
         "set_id", "class_id", "class_rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     alone = sampled.where("size = 0").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("is_first"))
@@ -324,10 +332,11 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
 def one_of_each(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs``, all columns, that are the first of their class; of repeated rows one."""
-    first = classes(docs, recall).where("is_first").select(F.col("doc_id").alias("_first_id"), F.col("key").alias("_first_key")).distinct()
+    of, same = fresh(docs.columns, "_first_id"), fresh(docs.columns, "_first_key")
+    first = classes(docs, recall).where("is_first").select(F.col("doc_id").alias(of), F.col("key").alias(same)).distinct()
     key, number = fresh(docs.columns, "key"), fresh(docs.columns, "number")
     named = docs.withColumns({key: F.xxhash64(F.coalesce("text", F.lit(""))), number: F.col("doc_id").cast("long")})
-    kept = named.join(first, named[number].eqNullSafe(first["_first_id"]) & (named[key] == first["_first_key"]), "left_semi")
+    kept = named.join(first, named[number].eqNullSafe(first[of]) & (named[key] == first[same]), "left_semi")
     return kept.dropDuplicates([number, key]).select(*docs.columns)
 
 

@@ -28,6 +28,9 @@ QUERY_ROWS = 2_000
 #: Vectors in a leaf of a part's own tree.
 SMALL_LEAF = 64
 
+#: What a vector is known by; ``row`` tells vectors of one vec_id apart.
+VECTOR = ("vec_id", "row", "embedding")
+
 
 def projection(width: int) -> np.ndarray:
     """A fixed matrix of independent standard normal numbers, which are 2-stable."""
@@ -106,10 +109,10 @@ def gaps(point: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (as double) of the vectors that take part, one row per vec_id.
+    """vec_id and embedding (as double) of the vectors that take part, a row each.
 
     Left out are rows without vec_id, null and empty vectors, and those that are zero or hold a null
-    or non-finite number. Of rows that share a vec_id the one with the smallest vector counts.
+    or non-finite number. Rows that share a vec_id, equal ones too, are vectors of their own.
     """
     x = F.col("embedding")
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
@@ -117,7 +120,6 @@ def valid(vectors: DataFrame) -> DataFrame:
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding"))
         .where("vec_id is not null and size(embedding) > 0")
         .where(~F.exists("embedding", bad) & F.exists("embedding", lambda v: v != 0))
-        .groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     )
 
 
@@ -130,13 +132,13 @@ def _placed(tree: Tree, width: int):
         matrix = projection(width)
         for batch in batches:
             leaf = tree.find(_rows(batch.column("embedding"), width) @ matrix)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(leaf)], ["vec_id", "embedding", "leaf"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in VECTOR), pa.array(leaf)], [*VECTOR, "leaf"])
 
     return put
 
 
 def nearest(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, places, best: tuple[np.ndarray, np.ndarray], k: int, width_matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of a part and of ``best``: their distances and vec_ids, nearest first.
+    """The k nearest of a part and of ``best``: their distances and (vec_id, row), nearest first, without row ``own``.
 
     Leaves of the part's tree are taken by their distance from the projected query; their vectors
     are verified by their own distance; the search ends when the next leaf is so far that a vector
@@ -149,24 +151,28 @@ def nearest(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, p
         if len(scores) >= k and (scores[k - 1] == 0 and far[leaf] > 0 or scores[k - 1] > 0 and seen(far[leaf] / scores[k - 1] ** 2) >= CONFIDENCE):
             break
         rows = order[starts[leaf] : starts[leaf + 1]]
-        rows = rows[ids[rows] != own]
+        rows = rows[ids[rows, 1] != own]
         distance = np.sqrt(((vectors[rows] - query) ** 2).sum(1))
         scores, found = np.concatenate([scores, distance]), np.concatenate([found, ids[rows]])
-        first = np.lexsort((found, scores))[:k]
+        first = np.lexsort((found[:, 1], found[:, 0], scores))[:k]
         scores, found = scores[first], found[first]
     return scores, found
 
 
+FOUND = "query_id long, query_row long, vec_id long, row long, score double"
+
+
 def _searched(width: int, k: int):
     """Search one part with the queries that come to it; rows of a part follow each other, vectors first."""
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = projection(width)
         for batch in groups_of("part", batches):
             part = np.asarray(batch.column("part"))
-            ids, is_query = np.asarray(batch.column("vec_id")), np.asarray(batch.column("is_query"))
+            ids = np.stack([np.asarray(batch.column(c)) for c in ("vec_id", "row")], axis=1)
+            is_query = np.asarray(batch.column("is_query"))
             vectors, reach = _rows(batch.column("embedding"), width), np.asarray(batch.column("reach"))
             edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
-            out: tuple[list, list, list] = ([], [], [])
+            out: tuple[list, list, list] = ([], [], [])  # query, found, score
             for a, b in zip(edges[:-1], edges[1:]):
                 asked = a + np.flatnonzero(is_query[a:b])
                 rows = a + np.flatnonzero(~is_query[a:b])
@@ -180,14 +186,16 @@ def _searched(width: int, k: int):
                 high = np.maximum.reduceat(projected[order], starts[:-1])
                 for q in asked:
                     # What is known to be near enough stands in for k vectors at that distance.
-                    bound = (np.full(k, reach[q]), np.full(k, -1)) if np.isfinite(reach[q]) else (np.zeros(0), np.zeros(0, np.int64))
-                    scores, found = nearest(vectors[q], ids[q], ids[rows], vectors[rows], (order, starts, low, high), bound, k, matrix)
-                    real = found >= 0 if np.isfinite(reach[q]) else np.ones(len(found), bool)
-                    out[0].append(np.full(real.sum(), ids[q]))
+                    bound = (np.full(k, reach[q]), np.full((k, 2), -1)) if np.isfinite(reach[q]) else (np.zeros(0), np.zeros((0, 2), np.int64))
+                    scores, found = nearest(vectors[q], ids[q, 1], ids[rows], vectors[rows], (order, starts, low, high), bound, k, matrix)
+                    real = found[:, 1] >= 0 if np.isfinite(reach[q]) else np.ones(len(found), bool)
+                    out[0].append(np.repeat(ids[q : q + 1], real.sum(), axis=0))
                     out[1].append(found[real])
                     out[2].append(scores[real])
-            flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["query_id", "vec_id", "score"])
+            query, found = (np.concatenate(x) if x else np.zeros((0, 2), np.int64) for x in out[:2])
+            score = np.concatenate(out[2]) if out[2] else np.zeros(0)
+            columns = [query[:, 0], query[:, 1], found[:, 0], found[:, 1], score]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], [f.split()[0] for f in FOUND.split(", ")])
 
     return search
 
@@ -212,9 +220,9 @@ def _visits(tree: Tree, width: int):
                 query.append(np.full(go.sum(), i))
             rows = pa.array(np.concatenate(query) if query else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c).take(rows) for c in ("vec_id", "embedding", "reach")]
+                [batch.column(c).take(rows) for c in (*VECTOR, "reach")]
                 + [pa.array(np.concatenate(leaf) if leaf else np.zeros(0, np.int64))],
-                ["vec_id", "embedding", "reach", "leaf"],
+                [*VECTOR, "reach", "leaf"],
             )
 
     return listed
@@ -229,20 +237,20 @@ def _asked(queries: DataFrame, points: DataFrame, parts: DataFrame, width: int,
     sizes = F.broadcast(parts.join(blocks, "leaf"))
     name = lambda part, block: F.xxhash64("leaf", part, block).alias("part")
     vectors = points.join(sizes, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).select(
-        name(F.pmod(F.xxhash64("vec_id"), n.cast("long")).cast("int"), F.col("block")),
-        F.lit(False).alias("is_query"), "vec_id", "embedding", F.lit(float("inf")).alias("reach"),
+        name(F.pmod(F.xxhash64("row"), n.cast("long")).cast("int"), F.col("block")),
+        F.lit(False).alias("is_query"), *VECTOR, F.lit(float("inf")).alias("reach"),
     )
     asked = queries.join(sizes, "leaf").withColumn("at", F.explode(F.sequence(F.lit(0), n.cast("int") - 1))).select(
-        name(F.col("at"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int")),
-        F.lit(True).alias("is_query"), "vec_id", "embedding", "reach",
+        name(F.col("at"), F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks")).cast("int")),
+        F.lit(True).alias("is_query"), *VECTOR, "reach",
     )
     return vectors.union(asked).repartition("part").sortWithinPartitions("part").mapInArrow(
-        _searched(width, k), "query_id long, vec_id long, score double"
+        _searched(width, k), FOUND
     )
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    nearest_first = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    nearest_first = Window.partitionBy("query_row").orderBy("score", "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
 
 
@@ -253,7 +261,7 @@ def search(vectors: DataFrame, is_query, k: int = NEAREST) -> DataFrame:
     is fitted on a bounded sample; every vector is put in its leaf. A query first searches its own
     leaf, which bounds how far its neighbours are, and then the leaves that the chi-square test
     does not rule out. A leaf with more than LEAF_ROWS vectors, as equal vectors make, is searched
-    in parts. Scores are those of the original vectors; ties go to the smaller vec_id. ``valid``
+    in parts. Rows that share a vec_id are each a query, if it is one, and candidates of each other. Scores are those of the original vectors; ties go to the smaller vec_id. ``valid``
     says which vectors take part; vectors of another width than the commonest one take no part
     either; a query with fewer than k others gets all; an empty table gives an empty result.
     """
@@ -263,21 +271,22 @@ def search(vectors: DataFrame, is_query, k: int = NEAREST) -> DataFrame:
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = width["width"]
-    known = known.where(F.size("embedding") == width).checkpoint()
+    # Numbered once they are stored, so a vector keeps its number.
+    known = known.where(F.size("embedding") == width).checkpoint().withColumn("row", F.monotonically_increasing_id())
     total = known.count()
-    sample = known.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").toArrow()
+    sample = known.orderBy(F.xxhash64("vec_id", "row"), "vec_id", "row").limit(SAMPLE_ROWS).select("embedding").toArrow()
     sample = _rows(sample["embedding"].combine_chunks(), width) @ projection(width)
     leaves = min(MOST_LEAVES, max(1, 2 * total // LEAF_ROWS), max(1, len(sample) // 8))
     tree = Tree(sample, max(1, -(-len(sample) // leaves)))
     tree.leaf = np.zeros(0, np.int64)
-    points = known.mapInArrow(_placed(tree, width), "vec_id long, embedding array<double>, leaf long").checkpoint()
+    points = known.select(*VECTOR).mapInArrow(_placed(tree, width), "vec_id long, row long, embedding array<double>, leaf long").checkpoint()
     parts = points.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_ROWS).alias("parts"))
     queries = points.where(is_query).withColumn("reach", F.lit(float("inf")))
-    at_home = _best(_asked(queries, points, parts, width, k), k).select("query_id", "vec_id", "score").checkpoint()
-    reach = at_home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("score")).otherwise(float("inf")).alias("near"))
-    bounded = queries.join(reach, queries.vec_id == reach.query_id, "left").select(
-        "vec_id", "embedding", "leaf", F.coalesce("near", F.lit(float("inf"))).alias("reach")
+    at_home = _best(_asked(queries, points, parts, width, k), k).drop("rank").checkpoint()
+    reach = at_home.groupBy("query_row").agg(F.when(F.count("*") >= k, F.max("score")).otherwise(float("inf")).alias("near"))
+    bounded = queries.join(reach, queries.row == reach.query_row, "left").select(
+        *VECTOR, "leaf", F.coalesce("near", F.lit(float("inf"))).alias("reach")
     )
-    elsewhere = bounded.mapInArrow(_visits(tree, width), "vec_id long, embedding array<double>, reach double, leaf long").checkpoint()
+    elsewhere = bounded.mapInArrow(_visits(tree, width), "vec_id long, row long, embedding array<double>, reach double, leaf long").checkpoint()
     found = at_home.union(_asked(elsewhere, points, parts, width, k))
     return _best(found, k).select("query_id", "rank", "vec_id", "score")

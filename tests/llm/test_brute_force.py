@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from brute import linked, overlaps, personal_data, without_repeats, written
 from compare import connect, differences
 
+from civicpulse.llm import jaccard
 from civicpulse.llm.queries import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -151,3 +153,23 @@ def test_vocabularies_of_two_libraries_agree():
     texts += [base64.b64encode(bytes(range(i, 200))).decode() for i in range(0, 100, 7)]
     for text in texts:
         assert token_ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
+@pytest.mark.parametrize("bucket", [8, jaccard.BUCKET])
+def test_recall_of_pairs_at_the_threshold(spark, monkeypatch, bucket):
+    """Planted pairs of similarity 0.8 among texts that share half their shingles, so buckets are split."""
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
+    shared = [f"s{i}" for i in range(24)]
+    rows = []
+    for pair in range(1200):
+        common = shared + [f"p{pair}_{i}" for i in range(20)]
+        rows += [(2 * pair + side, " ".join(common + [f"own{pair}_{side}_{i}" for i in range(5)])) for side in (0, 1)]
+    found = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in found} == {d: (d - d % 2, 1) for d, _ in rows}
+
+
+def test_the_stated_recall_holds_after_all_splits():
+    chance = 1 - (1 - jaccard.survival()) ** jaccard.runs()
+    assert chance >= jaccard.RECALL and jaccard.survival() < 0.8 * 0.96**2
+    fewer = sum(math.comb(jaccard.SAMPLES, i) * 0.8**i * 0.2 ** (jaccard.SAMPLES - i) for i in range(jaccard.PROMISING))
+    assert fewer < 1 - jaccard.RECALL

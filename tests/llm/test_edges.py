@@ -1,9 +1,13 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import math
+import random
 
+import duckdb
+import numpy as np
 import pytest
 from brute import linked, personal_data, without_repeats, written
+from compare import differences
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -232,8 +236,9 @@ def test_odd_vectors(spark):
     table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
     found = neighbours.search(table, F.col("vec_id") % 100 == 0)
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()) == [
-        (0, 1, 1, 0.0), (0, 2, 9, 0.0), (0, 3, 100, 0.5), (100, 1, 0, 0.5), (100, 2, 1, 0.5), (100, 3, 9, 0.5)
-    ]
+        (0, 1, 1, 0.0), (0, 2, 9, 0.0), (0, 3, 100, 0.5), (0, 4, 100, 0.5),
+        *[row for row in ((100, 1, 100, 0.0), (100, 2, 0, 0.5), (100, 3, 1, 0.5), (100, 4, 9, 0.5)) for _ in range(2)],
+    ]  # every other row is a candidate, the equal one of the same vec_id too
     assert neighbours.search(table.where("false"), F.col("vec_id") % 100 == 0).count() == 0
     assert neighbours.search(table, F.lit(False)).count() == 0
 
@@ -274,6 +279,39 @@ def test_templates_merge_and_are_rejected(spark):
     assert (rows[121].verdict, rows[121].template) == ("allow", "h/read/*")
 
 
+def test_only_the_tree_blocks_pages_without_a_rule(spark):
+    """A section whose labelled parts are blocked; the site as a whole is not, nor are its other sections."""
+    rules = (urls.Rule("block", "h.com", "/forum/spam/"), urls.Rule("block", "h.com", "/forum/junk/"), urls.Rule("allow", "h.com", "/news/"))
+    given = [f"http://{'www.' if i % 2 else ''}h.com/forum/{w}/t{i}" for i in range(30) for w in ("spam", "junk")]
+    given += [f"http://h.com/news/{'abc'[i % 3]}/x" for i in range(90)]
+    asked = ["http://h.com/forum/other/t1", "http://m.h.com/forum/more", "http://h.com/news", "http://h.com/about/us", "http://h.com/forum/a/b/c/d/e/f/g"]
+    pages = spark.createDataFrame(list(enumerate(given + asked)), "page_id long, url string")
+    rows = {r.page_id: r for r in urls.judge(pages, rules).collect()}
+    found = [(rows[len(given) + i].verdict, rows[len(given) + i].rule) for i in range(len(asked))]
+    assert found == [("block", None), ("block", None), ("allow", None), ("allow", None), ("block", None)]
+    templates = {r.template for r in rows.values()}
+    assert "h.com/forum/+/+" in templates and len(templates) < 15
+
+
+def test_templates_equal_sql(spark, tmp_path):
+    """Spark's levels against DuckDB's, over deep and wide trees and several sites."""
+    pick = random.Random(6)
+    sections = ["a", "b", "c", "fr", "de", "es", "en"]
+
+    def url() -> str:
+        host = pick.choice(["www.x.com", "x.com", "m.x.com", "example.org", "y.example.org", "net", "blog.z.com", "z.com"])
+        depth = pick.choice([0, 1, 2, 3, 4, 5, 9, 30])
+        path = "".join("/" + pick.choice([*sections, f"id{pick.randrange(10**6)}", pick.choice("abcdefgh") * 9]) for _ in range(depth))
+        return f"http://{host}{path}{pick.choice(['', '/', '?q', '/1'])}"
+
+    pages = [(i, url()) for i in range(3000)]
+    found = urls.judge(spark.createDataFrame(pages, "page_id long, url string"))
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    connection.executemany("INSERT INTO pages VALUES (?, ?)", pages)
+    assert differences(found, connection, urls.judge_sql()) == []
+
+
 def _names(n):
     return [chr(97 + i // 26) + chr(97 + i % 26) for i in range(n)]
 
@@ -335,3 +373,20 @@ def test_stages_take_odd_tables(spark, docs, benchmark, labels, tmp_path, number
         assert found.columns == docs.columns
     assert found.count() > 0
     assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_vectors_that_share_a_vec_id(spark):
+    """Each is a vector of its own: all other rows are its candidates, those of the same vec_id and equal ones too."""
+    pick = np.random.default_rng(3)
+    rows = [(100, [0.0, 2.0]), (1, [1.0, 1.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (200, [3.0, 0.5]), (200, [3.0, 0.5]), (200, [-1.0, 4.0])]
+    rows += [(int(pick.integers(2, 90)), pick.standard_normal(2).tolist()) for _ in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    found = neighbours.search(table, F.col("vec_id") % 100 == 0).collect()
+    assert (100, 1.0, 1) in {(r.query_id, r.score, r.vec_id) for r in found}
+    expected = []
+    for i, (name, vector) in enumerate(rows):
+        if name % 100 == 0:
+            others = sorted((math.dist(vector, v), n) for j, (n, v) in enumerate(rows) if j != i)[:10]
+            expected += [(name, rank, n, pytest.approx(d)) for rank, (d, n) in enumerate(others, 1)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found)
+    assert len(got) == 40 and all(g in expected for g in got)
