@@ -26,7 +26,7 @@ WINDOW = 35
 #: Words of an anchor, by which the prefixes of suffixes are chosen.
 ANCHOR = 12
 #: A group whose anchor occurs more often than this is cut by longer prefixes: by whole windows.
-GROUP = 10_000
+GROUP = 1_000
 
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
