@@ -121,7 +121,7 @@ def _binned(x: np.ndarray, edges) -> np.ndarray:
 def _cuts(gain: np.ndarray, weight: np.ndarray, depth: int = 2) -> np.ndarray:
     """A shallow tree over one feature's bins: per bin the mean residual of its leaf.
 
-    Each split is the one that lowers the squared error most; a leaf holds 20 rows or more.
+    Each split is the one that lowers the squared error most; a leaf has a weight (of the Hessian) of 5 or more.
     """
     out = np.zeros(len(gain))
     parts = [(0, len(gain), depth)]
