@@ -107,6 +107,7 @@ ORACLES: dict[str, str] = {
     "op3_repeated_passages": repeats.REPEATS_SQL,
     "op7_sharding": sharding.place_sql(SHARDS),
     "op9_jaccard_join": jaccard.CLASSES_SQL,
+    "op11_simhash_near_dedup": simhash.near_duplicates_sql(),
     "op12_merkle_manifest": merkle.MANIFEST_SQL,
     "op13_conversation_repair": conversations.REPAIR_SQL,
 }

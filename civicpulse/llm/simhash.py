@@ -10,6 +10,7 @@ shard the same goes on to small leaves, where all pairs are measured. A shard re
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -274,3 +275,76 @@ def near_duplicates(docs: DataFrame, reach: int = REACH) -> DataFrame:
     found = beside(marked, named, "point")
     digits = F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint")
     return found.select("doc_id", digits, "component_id")
+
+
+def _hash_sql() -> str:
+    """``hashed(s, hash)`` for DuckDB: XXH64 with seed 42 of the texts of ``shingle(s)``, in whole numbers modulo 2^64."""
+    primes = [11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261]
+    one, two, three, four, five = primes
+    size, seed, used = 2**64, 42, count()
+
+    def whole(number: int) -> str:
+        return f"{number}::UHUGEINT"
+
+    def plus(*parts: str) -> str:
+        return f"(({' + '.join(parts)}) % {whole(size)})"
+
+    def times(value: str, factor: int) -> str:
+        return f"(({value}) * {whole(factor)} % {whole(size)})"
+
+    def turned(value: str, bits: int) -> str:
+        x = f"x{next(used)}"  # the value is named, as it is used twice
+        return f"list_transform([{value}], lambda {x}: ({x} * {whole(2**bits)} % {whole(size)} + ({x} >> {64 - bits})))[1]"
+
+    def taken_in(sum_: str, lane: str) -> str:
+        return times(turned(plus(sum_, times(lane, two)), 31), one)
+
+    def lanes(number: str, place: Callable[[str], str], width: int) -> str:
+        k = f"k{next(used)}"
+        value = " + ".join(f"b[{place(k)} + {j + 1}] * {whole(256**j)}" for j in range(width))
+        return f"list_transform(range({number}), lambda {k}: ({value}))"
+
+    def folded(start: str, values: str, step: Callable[[str, str], str]) -> str:
+        a, v = f"a{next(used)}", f"v{next(used)}"
+        return f"list_reduce(list_prepend({start}, {values}), lambda {a}, {v}: {step(a, v)})"
+
+    starts = [(seed + one + two) % size, (seed + two) % size, seed, (seed - one) % size]
+    sums = [folded(whole(v), lanes("n // 32", lambda k, j=j: f"32 * {k} + {8 * j}", 8), taken_in) for j, v in enumerate(starts)]
+    long = plus(*(turned(f"s{j}", bits) for j, bits in enumerate((1, 7, 12, 18))))
+    for j in range(4):
+        long = plus(times(f"xor({long}, {taken_in(whole(0), f's{j}')})", one), whole(four))
+    begin = plus(f"CASE WHEN n >= 32 THEN {long} ELSE {whole((seed + five) % size)} END", "n::UHUGEINT")
+    eights = folded("h0", lanes("(n - r0) // 8", lambda k: f"r0 + 8 * {k}", 8), lambda a, v: plus(times(turned(f"xor({a}, {taken_in(whole(0), v)})", 27), one), whole(four)))
+    fours = folded("h1", lanes("(n - r1) // 4", lambda k: f"r1 + 4 * {k}", 4), lambda a, v: plus(times(turned(f"xor({a}, {times(v, one)})", 23), two), whole(three)))
+    ones = folded("h2", "list_slice(b, r2 + 1, n)", lambda a, v: times(turned(f"xor({a}, {times(v, five)})", 11), one))
+    each = ", ".join(f"CASE WHEN n >= 32 THEN {s} END AS s{j}" for j, s in enumerate(sums))
+    return f"""
+  bytes AS (SELECT s, n, list_transform(range(n), lambda k: ('0x' || h[2 * k + 1:2 * k + 2])::UHUGEINT) AS b
+    FROM (SELECT s, hex(s) AS h, strlen(s) AS n FROM shingle)),
+  stripes AS (SELECT *, {each} FROM bytes),
+  begun AS (SELECT *, {begin} AS h0, n // 32 * 32 AS r0 FROM stripes),
+  by_eight AS (SELECT *, {eights} AS h1, r0 + (n - r0) // 8 * 8 AS r1 FROM begun),
+  by_four AS (SELECT *, {fours} AS h2, r1 + (n - r1) // 4 * 4 AS r2 FROM by_eight),
+  by_one AS (SELECT *, {ones} AS h3 FROM by_four),
+  hashed AS MATERIALIZED (SELECT s, xor(h5, h5 >> 32)::UBIGINT AS hash
+    FROM (SELECT s, {times("xor(h4, h4 >> 29)", three)} AS h5 FROM (SELECT s, {times("xor(h3, h3 >> 33)", two)} AS h4 FROM by_one)))"""
+
+
+def near_duplicates_sql() -> str:
+    """The columns of the registered query for DuckDB, over the view ``documents``: all pairs of distinct fingerprints."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+  every AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(words) - {SHINGLE - 2}, least(len(words), 1) + 1)),
+      lambda p: array_to_string(words[p:p + {SHINGLE - 1}], ' '))) AS s FROM w),
+  counted AS MATERIALIZED (SELECT doc_id, s, count(*) AS n FROM every GROUP BY ALL),
+  shingle AS (SELECT DISTINCT s FROM counted),{_hash_sql()},
+  sums AS (SELECT doc_id, sum(n) AS n, {", ".join(f"sum(n) FILTER (hash >> {i} & 1 = 1) AS b{i}" for i in range(64))}
+    FROM counted JOIN hashed USING (s) GROUP BY doc_id),
+  marked AS MATERIALIZED (SELECT doc_id, {" + ".join(f"(2 * coalesce(b{i}, 0) > coalesce(n, 0))::UBIGINT * {2**i}::UBIGINT" for i in range(64))} AS point
+    FROM documents LEFT JOIN sums USING (doc_id)),
+  points AS MATERIALIZED (SELECT point, min(doc_id) AS low FROM marked GROUP BY point),
+  links AS MATERIALIZED (SELECT a.point AS a, b.point AS b FROM points a, points b WHERE a.point <> b.point AND bit_count(xor(a.point, b.point)) <= {REACH}),
+  reached(point, other) AS (SELECT point, point FROM points UNION SELECT point, b FROM reached JOIN links ON other = a),
+  lowest AS (SELECT r.point, min(low) AS component_id FROM reached r JOIN points p ON p.point = r.other GROUP BY r.point)
+SELECT doc_id, lpad(lower(to_hex(point)), 16, '0') AS fingerprint, component_id FROM marked JOIN lowest USING (point)"""
