@@ -179,7 +179,8 @@ def _candidates(sets: DataFrame, recall: float) -> DataFrame:
         sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         shared = buckets.join(sizes, "bucket")
         small = shared.where(F.col("n") <= BUCKET).select("bucket", F.lit(0).alias("side"), "set_id") if depth < DEPTH else _blocked(shared)
-        dealt = small.join(samples, "set_id").repartition("bucket").sortWithinPartitions("bucket")
+        # In order of sets, so that the buckets of one group give links to the same few smallest sets.
+        dealt = small.join(samples, "set_id").repartition("bucket").sortWithinPartitions("bucket", "set_id")
         found = dealt.mapInArrow(_promising, "a long, b long")
         links = found if links is None else links.union(found)
         if depth < DEPTH:
