@@ -25,7 +25,7 @@ BUCKET = 1000
 #: Sets of a block when sets are compared exactly.
 BLOCK = 256
 #: Splits of a bucket that stays larger; after them it is compared block by block.
-DEPTH = 3
+DEPTH = 2
 #: Paths that a bucket goes on along when it is split.
 PATHS = 2
 #: Equal samples from which a pair is verified; a linked pair has fewer with a chance of 1e-7.
