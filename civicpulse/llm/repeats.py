@@ -314,10 +314,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = keyed_rows(docs)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    # A part is read into memory: a quarter of what one task scans.
+    # A part is read into memory: a quarter of what one task scans. A task has several parts, one after the other,
+    # so that the three passes sort, and the result is written, in as many tasks as there are buckets.
     parts = 4 * buckets
     part = F.pmod(F.xxhash64("doc_id", "key"), F.lit(parts)).cast("int").alias("part")
-    dealt = rows.select(part, "doc_id", "key", "text").repartition(parts, "part")
+    dealt = rows.select(part, "doc_id", "key", "text").repartition(buckets, "part")
     by_part = dealt.groupBy("part")
 
     def in_buckets(df: DataFrame) -> DataFrame:

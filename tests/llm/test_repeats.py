@@ -63,6 +63,18 @@ def test_a_passage_that_a_third_of_all_texts_hold(spark, monkeypatch, group):
     assert removed(spark, texts) == without_repeats(texts)
 
 
+def test_the_result_is_written_in_as_many_tasks_as_there_are_buckets(spark, tmp_path):
+    """Each file is a process that the executor starts, so parts must not be tasks of their own."""
+    passage = " ".join(f"p{i}" for i in range(45))
+    texts = [f"own{i} {passage} end{i}" if i % 5 == 0 else f"short {i}" for i in range(400)] + [None, ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    repeats.remove_repeats(table).write.parquet(str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("part-*.parquet"))
+    assert len(files) <= max(int(spark.conf.get("spark.sql.shuffle.partitions")), table.rdd.getNumPartitions())
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in rows] == without_repeats(texts)
+
+
 def test_nodes_of_a_group():
     """Suffixes below a node of window depth, against all pairs of windows."""
     pick = random.Random(5)
