@@ -27,6 +27,8 @@ WINDOW = 35
 ANCHOR = 12
 #: A group whose anchor occurs more often than this is cut by longer prefixes: by whole windows.
 GROUP = 1_000
+#: Runs of windows that a task holds before it sends them to their parts.
+RUNS = 1 << 18
 
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -221,7 +223,23 @@ def deep_nodes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows below deep nodes, as runs for the parts that have them, from rows sorted by single and prefix."""
+    """The windows below deep nodes, as runs for the parts that have them, from rows sorted by single and prefix.
+
+    Runs of all groups of a task are held together, so a part gets one row from it, however many groups it has there.
+    """
+    held, size = [], 0
+    for found in _repeated(batches):
+        held.append(found)
+        size += len(found[0])
+        if size >= RUNS:
+            yield _replies(*map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if size:
+        yield _replies(*map(np.concatenate, zip(*held)))
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of windows below deep nodes: part, first window and their number."""
     for (single,), own in in_blocks(batches, "single"):
         if single:
             yield from _equal_windows(own)
@@ -233,17 +251,18 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begins[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
             first = np.flatnonzero(begins)
             starts = np.asarray(batch.column("start"))[row[first]] + place[first]
-            yield _replies(np.asarray(batch.column("part"))[row[first]], starts, np.diff(np.append(first, len(row))))
+            yield np.asarray(batch.column("part"))[row[first]], starts, np.diff(np.append(first, len(row)))
 
 
-def _equal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _equal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The same for groups whose prefix is a whole window, however many parts have it: a leaf is held per text."""
     name, leaves = None, {}
     for batch in batches:
-        found, plain = [], []
+        found = []
         for prefix, part, start, text in zip(*(batch.column(c).to_pylist() for c in ("prefix", "part", "start", "text"))):
             if start < 0:
-                plain.append((part, text))
+                first, number = np.frombuffer(text, "<i8").reshape(-1, 2).T
+                yield np.full(len(first), part), first, number
                 continue
             if prefix != name:
                 name, leaves = prefix, {}
@@ -253,9 +272,7 @@ def _equal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 leaf[2] = True
         if found:
             parts, starts = (np.array(c, np.int64) for c in zip(*found))
-            yield _replies(parts, starts, np.ones(len(parts), np.int64))
-        if plain:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*plain), _schema(REPEATS))], schema=_schema(REPEATS))
+            yield parts, starts, np.ones(len(parts), np.int64)
 
 
 def _replies(part: np.ndarray, start: np.ndarray, number: np.ndarray) -> pa.RecordBatch:

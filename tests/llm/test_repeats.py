@@ -75,6 +75,28 @@ def test_the_result_is_written_in_as_many_tasks_as_there_are_buckets(spark, tmp_
     assert [tuple(r)[1:] for r in rows] == without_repeats(texts)
 
 
+@pytest.mark.parametrize("single", [False, True])
+@pytest.mark.parametrize("runs", [None, 1, 50])
+def test_a_part_gets_one_row_from_a_task_with_many_groups(monkeypatch, single, runs):
+    import pyarrow as pa
+
+    if runs:
+        monkeypatch.setattr(repeats, "RUNS", runs)
+    groups, parts, of_own = 30, 7, 3
+    rows = [(g, single, p, 100 * g + p, " ".join(f"g{g}_{i}" for i in range(35)).encode()) for g in range(groups) for p in range(parts)]
+    rows += [(groups, single, 0, 9_000, b" ".join([b"once"] * 34 + [b"only"]))]
+    rows += [(p, True, p, -1, np.array([(10_000 + p, 5)], "<i8").tobytes()) for p in range(of_own)]
+    rows.sort(key=lambda r: r[1::-1])
+    schema = repeats._schema(repeats.SUFFIXES)
+    table = pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    out = [b for b in repeats._subtrees(iter(table.to_batches(max_chunksize=10))) if b.num_rows]
+    found = [(p, *run) for b in out for p, raw in zip(*(c.to_pylist() for c in b.columns)) for run in np.frombuffer(raw, "<i8").reshape(-1, 2).tolist()]
+    wanted = [(p, 100 * g + p, 1) for g in range(groups) for p in range(parts)] + [(p, 10_000 + p, 5) for p in range(of_own)]
+    assert sorted(found) == sorted(wanted)
+    assert runs or sum(b.num_rows for b in out) == parts
+    assert list(repeats._subtrees(iter([]))) == []
+
+
 def test_nodes_of_a_group():
     """Suffixes below a node of window depth, against all pairs of windows."""
     pick = random.Random(5)
